@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from siftline.llm import op2_quality
+from siftline.llm import op2_quality, op3_telephony, op6_simhash, op7_mixing, op10_packing
 
 QUERIES = {
     "op2_quality_llr": op2_quality.query,
+    "op3_telephony_audio": op3_telephony.query,
+    "op6_simhash_ball": op6_simhash.query,
+    "op7_source_mixing": op7_mixing.query,
+    "op10_best_fit_packing": op10_packing.query,
 }
 
 #: None of the ten can be written in DuckDB SQL (hashes, trained models, byte formats, components); see tests/llm.
