@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from siftline.llm import op2_quality, op3_telephony, op6_simhash, op7_mixing, op10_packing
+from siftline.llm import op2_quality, op3_telephony, op4_toxicity, op5_warc, op6_simhash, op7_mixing, op8_langid, op9_suffix, op10_packing
 
 QUERIES = {
     "op2_quality_llr": op2_quality.query,
     "op3_telephony_audio": op3_telephony.query,
+    "op4_counterfactual_toxicity": op4_toxicity.query,
+    "op5_warc_bundles": op5_warc.query,
     "op6_simhash_ball": op6_simhash.query,
     "op7_source_mixing": op7_mixing.query,
+    "op8_language_id": op8_langid.query,
+    "op9_suffix_dedup": op9_suffix.query,
     "op10_best_fit_packing": op10_packing.query,
 }
 
