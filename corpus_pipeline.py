@@ -1,18 +1,54 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences: each stage applies one operator to all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from siftline.llm import op4_toxicity, op6_simhash, op7_mixing, op9_suffix, op10_packing
+from siftline.llm.storage import written
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the counterfactual-regularised classifier rejects."""
+    return op4_toxicity.clean(spark, docs, sf_dir)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component."""
+    return op6_simhash.representatives(docs)
+
+
+def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of strings that repeat; n_chars is counted anew."""
+    return op9_suffix.shortened(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return op7_mixing.mixed(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their bins."""
+    return op10_packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("simhash_near_dedup", near_duplicates),
+    ("suffix_array_dedup", suffix_array),
+    ("source_mixing", mixing),
+    ("best_fit_packing", packing),
+]
 
 #: SQL can express none of the stages; tests/llm holds them against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        docs = docs if k == len(STAGES) - 1 else written(docs)
     return docs

@@ -367,5 +367,11 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wi
     return out.select(*[F.col("_made.text").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
+def shortened(docs: DataFrame, *, size: str = "n_chars") -> DataFrame:
+    """docs of the pipeline, deduplicated, with the column of their length counted anew."""
+    out = deduplicated(docs)
+    return out.withColumn(size, F.length("text").cast(docs.schema[size].dataType)) if size in docs.columns else out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

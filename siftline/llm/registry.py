@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from siftline.llm import op2_quality, op3_telephony, op4_toxicity, op5_warc, op6_simhash, op7_mixing, op8_langid, op9_suffix, op10_packing
+from siftline.llm import op1_suffix_tree, op2_quality, op3_telephony, op4_toxicity, op5_warc, op6_simhash, op7_mixing, op8_langid, op9_suffix, op10_packing
 
 QUERIES = {
+    "op1_suffix_tree_lm": op1_suffix_tree.query,
     "op2_quality_llr": op2_quality.query,
     "op3_telephony_audio": op3_telephony.query,
     "op4_counterfactual_toxicity": op4_toxicity.query,
