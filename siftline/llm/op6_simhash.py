@@ -64,16 +64,18 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE)
     return out
 
 
-def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
-    """(key, fp) for each row."""
-    kind = docs.schema[key].dataType.simpleString()
+def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), width: int = SHINGLE) -> DataFrame:
+    """(key, *carry, fp) for each row."""
+    slim = docs.select(key, *carry, text)
+    schema = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in (key, *carry)) + ", fp long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in tv.each_block(batch.column(1), tv.BLOCK // 2):
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(fingerprints_of(data, offsets, width))], names=[key, "fp"])
+            last = batch.num_columns - 1
+            for a, b, data, offsets in tv.each_block(batch.column(last), tv.BLOCK // 2):
+                yield pa.record_batch([*(batch.column(i).slice(a, b - a) for i in range(last)), pa.array(fingerprints_of(data, offsets, width))], names=[key, *carry, "fp"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp long")
+    return slim.mapInArrow(run, schema)
 
 
 def _bit(i: Column) -> Column:
@@ -91,33 +93,52 @@ def with_partners(fps: DataFrame) -> DataFrame:
     halves = fps.select(low.alias("low"), high.alias("high"))
     exact = halves.select(F.explode(F.array("low", "high")).alias("half")).groupBy("half").agg(F.count("*").alias("own"))
     near = halves.select(F.explode(F.concat(_flips(F.col("low"), 0, 31), _flips(F.col("high"), 0, 31))).alias("half"))
-    met = exact.where("own > 1").select("half").unionAll(exact.join(near, "half", "left_semi").select("half")).distinct()
-    by_half = fps.select("fp", F.explode(F.array(low, high)).alias("half")).join(met, "half", "left_semi")
+    met = exact.where("own > 1").select("half").unionAll(exact.join(near.hint("merge"), "half", "left_semi").select("half")).distinct()
+    by_half = fps.select("fp", F.explode(F.array(low, high)).alias("half")).join(met.hint("merge"), "half", "left_semi")
     return by_half.select("fp").distinct()
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(fp, centre): edges that connect all distinct fingerprints within 3 bits of each other, directly or by others, and no more."""
+    """(fp, centre): edges that connect all distinct fingerprints within 3 bits of each other, directly or by others, and no more.
+
+    Sizes after explode are not known to the planner, so the joins are told to shuffle rather than broadcast.
+    """
     fp = F.col("fp")
     one = fps.select("fp", F.explode(F.concat(F.array(fp), _flips(fp, 0, 63))).alias("z"))
     pairs = F.array(*[F.lit((1 << i) ^ (1 << j)).cast("long") for i in range(32) for j in range(i)])
     both = lambda p: F.array(fp.bitwiseXOR(p), fp.bitwiseXOR(F.call_function("shiftleft", p, F.lit(32))))
     two = fps.where(F.bit_count(fp) % 2 == 1).select("fp", F.explode(pairs).alias("p")).select("fp", F.explode(both(F.col("p"))).alias("z"))
     centre = one.groupBy("z").agg(F.min("fp").alias("centre"))
-    met = one.unionAll(two).join(centre, "z").where("fp <> centre")
+    met = one.unionAll(two).join(centre.hint("merge"), "z").where("fp <> centre")
     return met.where(F.bit_count(fp.bitwiseXOR(F.col("centre"))) <= RADIUS).select("fp", "centre").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
-    """(key, fingerprint, component_id) for each row of docs."""
-    found = written(fingerprints(docs, key=key, text=text, width=width))
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), width: int = SHINGLE) -> DataFrame:
+    """(key, *carry, fingerprint, component, component_id) for each row; component is a fingerprint, the same for all of one."""
+    found = written(fingerprints(docs, key=key, text=text, carry=carry, width=width))
     fps = written(found.groupBy("fp").agg(F.min(key).alias("least")))
     rooted = components(links(written(with_partners(fps))))
-    of = fps.join(rooted, fps.fp == rooted.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = of.join(ids, "root").select("fp", "component_id")
-    return found.join(of, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = fps.join(rooted, fps.fp == rooted.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("component"))
+    ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = of.select("fp", "component").join(ids, "component")
+    return found.join(of, "fp").select(key, *carry, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component", "component_id")
+
+
+def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component, that of the smallest id (of rows with this id, one); columns as they came.
+
+    Only ids and fingerprints are grouped. A component's row is named by id and text hash, which equal rows
+    share; where these repeat, one of the equal rows is taken.
+    """
+    found = near_duplicates(docs.select(key, text, F.xxhash64(key, text).alias("_tag")), key=key, text=text, carry=("_tag",))
+    # the smallest (id, tag) of each component; a null id comes last
+    first = found.groupBy("component").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "_tag")).alias("first"))
+    chosen = first.select(F.col("first.id").alias("_id"), F.col("first._tag").alias("_tag"))
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_key"), F.xxhash64(key, text).alias("_tag_of"))
+    same = tagged.hint("merge").join(chosen, tagged._key.eqNullSafe(chosen._id) & (tagged._tag_of == chosen._tag), "left_semi")
+    one = same.groupBy("_key", "_tag_of").agg(F.first("_row").alias("_row"))
+    return one.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")
