@@ -48,7 +48,7 @@ PROFILES = Profiles(
     description_weights={"attion": 4.0, "was the": 3.0, "of the": 3.0},
 )
 PHRASES = ["tion", "attion", "was the", "heing", "oredble", "ontion the", "and the", "of the", "anblest", "from the", "whor", "edenen"]
-DIGEST_SINCE = "2024-01-01 03:20:00"
+DIGEST_SINCE = "2024-01-01 01:00:00"
 SPLIT = "2024-01-16 00:00:00"
 RUN_TS = datetime(2024, 1, 31)
 
@@ -413,7 +413,7 @@ def _escaped(x: str) -> str:
 def _plain(x: str) -> str:
     """Text of a piece of HTML: tags as spaces, whitespace compacted, entities of the pages resolved."""
     x = f"trim(regexp_replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '{SPACES}', ' ', 'g'))"
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         x = f"replace({x}, '{entity}', '{plain}')"
     return x
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -20,15 +19,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: With it, an execution's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read back: lineage ends here and lost executors lose nothing."""
+    """The same rows, written to the shared folder and read back: lineage ends here and lost executors lose nothing.
+
+    The shuffle files of the write are deleted with it; df itself is not meant to be run again.
+    """
     spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    path, had = shared_dir(spark), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if had is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, had)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def released(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
