@@ -4,18 +4,22 @@ The suffix array is sparse. With width 400, each window of 400 bytes has 201 sub
 one with the least hash (the leftmost of equals) anchors it. Equal windows have equal anchors at equal
 places, so sorting the suffixes at anchors, about one byte in a hundred, finds every repeated window.
 
-1. Anchors are hashed and counted over all documents; those whose hash is unique repeat nowhere.
-2. The other suffixes, with the bytes left of them, are sorted in each task, equal ones put together, and
-   exchanged as front-coded runs, dealt by hash of the anchor.
+1. Anchors are hashed and counted over all documents; those whose hash is unique repeat nowhere. Anchors of
+   equal hash and context (all bytes that matter: 200 left, 400 right) are one suffix with a count, so a
+   group of copies is sorted once. Texts dense in anchors, such as one word over and over, repeat within
+   themselves: windows equal to an earlier one of the same text are covered on the spot and not sent on.
+2. The suffixes, with the bytes left of them, are sorted in each task and exchanged as front-coded runs,
+   dealt by hash of the anchor.
 3. A loser tree merges the runs (``losertree``): common prefixes come from the front coding and are never
    compared again. Suffixes with the same anchor form a group. Taking the neighbours with the longest
    common prefixes first and smaller sets into larger ones, each suffix is matched with the neighbours by
    its left bytes; of all partners, these reach furthest left at each length to the right. A match of 400
-   bytes or more covers all its bytes. All of it compares bytes; hashes only bring candidates together.
-4. Spans go back to their documents by a join.
+   bytes or more covers all its bytes. Different suffixes are matched by their bytes; only equal contexts
+   (and equal windows of one text) are told by 64-bit hashes.
+4. How far a suffix is covered goes back to all places that have it, and so to their documents, by joins.
 
-A group of more than ``HOT`` suffixes is split without loss: the offsets 0 to 200 of the anchor in its
-window are cut into ranges, and for the range lo to hi the group's key grows from 200 bytes to the
+A group of more than ``HOT`` different suffixes is split without loss: the offsets 0 to 200 of the anchor in
+its window are cut into ranges, and for the range lo to hi the group's key grows from 200 bytes to the
 400 - (hi - lo) that all such windows share. Ranges shrink from 201 offsets to 21, 3 and 1, where the key
 is the window itself and any two of a group match whole.
 
@@ -30,6 +34,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -63,34 +68,75 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors of all windows that lie within a text of the block."""
-    k = width // 2
-    hashes = tv.Prefix(data).windows(k)
-    least = _sliding_min((hashes & ~_INDEX) | np.arange(len(hashes), dtype=np.uint64), width - k + 1)
-    n = len(least)
-    if not n:
-        return np.empty(0, np.int64), hashes[:0]
-    inside = np.zeros(n + 1, dtype=np.int64)
-    begin, end = offsets[:-1], offsets[1:] - width + 1
+def _least(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The place of the anchor of the window that starts at each byte."""
+    return (_sliding_min((hashes & ~_INDEX) | np.arange(len(hashes), dtype=np.uint64), width - width // 2 + 1) & _INDEX).astype(np.int64)
+
+
+def _windows_inside(offsets: np.ndarray, width: int, n: int, first: int, last: int) -> np.ndarray:
+    """Which of the n windows lie within one text and start from first to before last."""
+    begin, end = np.maximum(offsets[:-1], first), np.minimum(offsets[1:] - width + 1, last)
     some = end > begin
-    np.add.at(inside, begin[some], 1)
-    np.add.at(inside, np.minimum(end[some], n), -1)
-    at = (least[np.cumsum(inside[:-1]) > 0] & _INDEX).astype(np.int64)
-    at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
-    return at, hashes[at]
+    steps = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(steps, begin[some], 1)
+    np.add.at(steps, np.minimum(end[some], n), -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def _runs_of(at: np.ndarray) -> np.ndarray:
+    """Sorted positions without repeats."""
+    return at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+
+
+def contexts(prefix: tv.Prefix, at: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int, k: np.ndarray | int) -> np.ndarray:
+    """A hash of all that matters of a suffix: width - k bytes left of it and width from it on, as far as its text goes."""
+    a, b = np.maximum(begin, at - (width - k)), np.minimum(end, at + width)
+    return tv.combine(prefix.hashes(a, b), (at - a).astype(np.uint64))
+
 
+def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, first: int = 0, last: int = 1 << 62) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, contexts, covered) of the windows within a text of the block that start from first to before last.
 
-def _pieces(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(row, start in its text, bytes, offsets) of a block; a text longer than PIECE comes in overlapping pieces."""
+    covered: (start, stop) rows of what repeats within one text that is dense in anchors.
+    """
+    prefix, k = tv.Prefix(data), width // 2
+    hashes = prefix.windows(k)
+    none = np.empty((0, 2), dtype=np.int64)
+    least = _least(hashes, width)
+    if not len(least):
+        return np.empty(0, np.int64), hashes[:0], hashes[:0], none
+    inside = _windows_inside(offsets, width, len(least), first, last)
+    at = _runs_of(least[inside])
+    count, room = np.diff(np.searchsorted(at, offsets)), np.diff(offsets)
+    dense = np.flatnonzero(count * width > 10 * room + 20 * width)
+    covered = [none]
+    if len(dense):
+        whole = prefix.windows(width)
+        for row in dense:
+            mine = np.flatnonzero(inside[offsets[row] : offsets[row + 1]]) + offsets[row]
+            _, earliest, of, n = np.unique(whole[mine], return_index=True, return_inverse=True, return_counts=True)
+            twice = mine[n[of] > 1]
+            if len(twice):
+                cuts = np.flatnonzero(np.diff(twice) > 1)
+                covered.append(np.stack([twice[np.append(0, cuts + 1)], twice[np.append(cuts, len(twice) - 1)] + width], axis=1))
+            inside[mine] = False
+            inside[mine[earliest]] = True
+        at = np.unique(least[inside])
+    row = np.searchsorted(offsets, at, side="right") - 1
+    return at, hashes[at], contexts(prefix, at, offsets[row], offsets[row + 1], width, k), np.concatenate(covered)
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int, int]]:
+    """(row, start in its text, bytes, offsets, first window, last window) of a block; a text longer than PIECE comes in overlapping pieces."""
     if len(data) <= PIECE:
-        yield 0, 0, data, offsets
+        yield 0, 0, data, offsets, 0, 1 << 62
         return
     for row in range(len(offsets) - 1):
         text = data[offsets[row] : offsets[row + 1]]
         for at in range(0, max(1, len(text) - width + 1), PIECE):
-            part = text[at : at + PIECE + width - 1]
-            yield row, at, part, np.array([0, len(part)])
+            begin = max(0, at - width)
+            part = text[begin : at + PIECE + 2 * width]
+            yield row, begin, part, np.array([0, len(part)]), at - begin, at - begin + PIECE
 
 
 def _tagged(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -98,106 +144,113 @@ def _tagged(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _all_anchors(tagged: DataFrame, width: int) -> DataFrame:
+    """(tag, pos, k, h, ctx, stop): anchors, with null stop, and spans from pos to stop that are covered already."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tags = batch.column(0).to_numpy(zero_copy_only=False)
             for a, _, data, offsets in tv.each_block(batch.column(1)):
-                for row, shift, part, bounds in _pieces(data, offsets, width):
-                    at, hashes = anchors(part, bounds, width)
-                    rows = np.searchsorted(bounds, at, side="right") - 1
-                    yield pa.record_batch([pa.array(tags[a + row + rows]), pa.array(at - bounds[rows] + shift), pa.array(hashes.view(np.int64))], names=["tag", "pos", "h"])
+                for row, shift, part, bounds, first, last in _pieces(data, offsets, width):
+                    at, hashes, context, covered = anchors(part, bounds, width, first, last)
+                    both = np.concatenate([at, covered[:, 0]])
+                    of = np.searchsorted(bounds, both, side="right") - 1
+                    pos = both - bounds[of] + shift
+                    zero = np.zeros(len(covered), dtype=np.int64)
+                    stop = np.concatenate([np.zeros(len(at), np.int64), pos[len(at) :] + covered[:, 1] - covered[:, 0]])
+                    columns = [pa.array(tags[a + row + of]), pa.array(pos.astype(np.int32)), pa.array(np.full(len(both), width // 2, np.int32)), pa.array(np.concatenate([hashes.view(np.int64), zero])), pa.array(np.concatenate([context.view(np.int64), zero])), pa.array(stop.astype(np.int32), mask=stop == 0)]
+                    yield pa.record_batch(columns, names=["tag", "pos", "k", "h", "ctx", "stop"])
 
-    return tagged.mapInArrow(run, "tag long, pos long, h long")
+    return tagged.mapInArrow(run, "tag long, pos int, k int, h long, ctx long, stop int")
 
 
 def _finer(cands: DataFrame, tagged: DataFrame, width: int, span: int) -> DataFrame:
-    """(tag, pos, k, h): each hot suffix (pos, k) cut into keys that leave ``span`` offsets each."""
+    """(tag, pos, k, h, ctx): each hot suffix (pos, k) cut into keys that leave ``span`` offsets each."""
     listed = cands.groupBy("tag").agg(F.collect_set(F.struct("pos", "k")).alias("at"))
     joined = tagged.hint("merge").join(listed, "tag").select("tag", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                text = batch.column(1)[row].as_buffer()
-                data = np.frombuffer(text, np.uint8)
-                prefix, out = tv.Prefix(data), []
+                data = np.frombuffer(batch.column(1)[row].as_buffer(), np.uint8)
+                prefix, out = tv.Prefix(data), set()
                 for at in batch.column(2)[row].as_py():
                     for lo in range(0, width - at["k"] + 1, span):
                         k = width - min(span - 1, width - at["k"] - lo)
                         start = at["pos"] - lo
                         if start >= 0 and start + k <= len(data):
-                            out.append((start, k))
+                            out.add((start, k))
                 if out:
-                    starts, sizes = np.array(out, dtype=np.int64).T
-                    tags = np.full(len(out), batch.column(0)[row].as_py(), dtype=np.int64)
-                    yield pa.record_batch([pa.array(tags), pa.array(starts), pa.array(sizes.astype(np.int32)), pa.array(prefix.hashes(starts, starts + sizes).view(np.int64))], names=["tag", "pos", "k", "h"])
+                    starts, sizes = np.array(sorted(out), dtype=np.int64).T
+                    zero = np.zeros(len(starts), dtype=np.int64)
+                    columns = [zero + batch.column(0)[row].as_py(), starts.astype(np.int32), sizes.astype(np.int32), prefix.hashes(starts, starts + sizes).view(np.int64), contexts(prefix, starts, zero, zero + len(data), width, sizes).view(np.int64)]
+                    yield pa.record_batch([pa.array(c) for c in columns], names=["tag", "pos", "k", "h", "ctx"])
 
-    return joined.mapInArrow(run, "tag long, pos long, k int, h long")
+    return joined.mapInArrow(run, "tag long, pos int, k int, h long, ctx long")
 
 
-def candidates(tagged: DataFrame, width: int, hot: int) -> DataFrame:
-    """(tag, pos, k, h): suffixes at pos whose first k bytes may begin another, in groups of at most ``hot`` or with k = width."""
-    spark, out = tagged.sparkSession, []
-    level = _all_anchors(tagged, width).select("tag", "pos", F.lit(width // 2).alias("k"), "h")
+def candidates(tagged: DataFrame, width: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(places, suffixes, covered).
+
+    places (tag, pos, k, h, ctx): where the first k bytes may begin another suffix. suffixes (k, h, ctx, m,
+    tag, pos): the different ones, how often each occurs and one place of it; at most ``hot`` to (k, h), or
+    k = width. covered (tag, pos, stop): spans that need no more search.
+    """
+    spark = tagged.sparkSession
+    found = written(_all_anchors(tagged, width))
+    covered = found.where("stop is not null").select("tag", "pos", "stop")
+    level = found.where("stop is null").drop("stop")
     spans = [s for s in (21, 3) if s <= width // 2] + [1]
+    places, suffixes = [], []
     while True:
-        level = written(level)
-        last = not spans
-        counts = level.groupBy("k", "h").agg(F.count("*").alias("n")).where("n > 1")
-        kept = written(level.join(counts.hint("merge"), ["k", "h"]))
-        out.append(kept if last else kept.where(F.col("n") <= hot))
+        twice = written(level.groupBy("k", "h").agg(F.count("*").alias("n")).where("n > 1").select("k", "h"))
+        kept = written(level.join(twice.hint("merge"), ["k", "h"]))
         released(spark)
-        if last or kept.where(F.col("n") > hot).isEmpty():
+        different = written(kept.groupBy("k", "h", "ctx").agg(F.count("*").alias("m"), F.min(F.struct("tag", "pos")).alias("one")).select("k", "h", "ctx", "m", "one.tag", "one.pos"))
+        large = written(different.groupBy("k", "h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("k", "h")) if spans else None
+        released(spark)
+        if large is None or large.isEmpty():
+            places.append(kept)
+            suffixes.append(different)
             break
-        level = _finer(kept.where(F.col("n") > hot), tagged, width, spans.pop(0)).distinct()
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return found.select("tag", "pos", "k", "h")
+        places.append(kept.join(large.hint("merge"), ["k", "h"], "left_anti"))
+        suffixes.append(different.join(large.hint("merge"), ["k", "h"], "left_anti"))
+        level = written(_finer(kept.join(large.hint("merge"), ["k", "h"], "left_semi"), tagged, width, spans.pop(0)))
+    return reduce(DataFrame.unionByName, places), reduce(DataFrame.unionByName, suffixes), covered
 
 
-RUN_SCHEMA = "k int, bucket int, shared array<int>, tails array<binary>, lefts array<binary>, n_refs array<int>, tags array<long>, positions array<long>"
+RUN_SCHEMA = "k int, bucket int, shared array<int>, tails array<binary>, lefts array<binary>, hs array<long>, contexts array<long>, counts array<long>"
 
 
-def _runs(cands: DataFrame, tagged: DataFrame, width: int, n_buckets: int) -> DataFrame:
-    """Sorted front-coded runs of the candidates' suffixes, one row for each task (or more), k and bucket."""
+def _runs(suffixes: DataFrame, tagged: DataFrame, width: int, n_buckets: int) -> DataFrame:
+    """Sorted front-coded runs of the suffixes, one row for each task (or more), k and bucket."""
     bucket = F.pmod(F.xxhash64("h", "k"), F.lit(n_buckets)).cast("int").alias("bucket")
-    listed = cands.select("tag", "pos", "k", bucket).groupBy("tag").agg(F.collect_list(F.struct("pos", "k", "bucket")).alias("at"))
-    copies = tagged.hint("merge").join(listed, "tag").select("tag", "text", F.array_distinct("at").alias("at"))
-
-    def flush(held: dict) -> Iterator[pa.RecordBatch]:
-        by_group: dict[tuple[int, int], list] = {}
-        for (k, b, suffix, left), refs in held.items():
-            by_group.setdefault((k, b), []).append((suffix, left, refs))
-        for (k, b), found in by_group.items():
-            found.sort(key=lambda x: (x[0], x[1]))
+    listed = suffixes.groupBy("tag").agg(F.collect_list(F.struct("pos", "k", bucket, "h", "ctx", "m")).alias("at"))
+    joined = tagged.hint("merge").join(listed, "tag").select("text", "at")
+    names = [x.split()[0] for x in RUN_SCHEMA.split(", ")]
+    types = [pa.list_(t) for t in (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())]
+
+    def flush(held: dict[tuple[int, int], list]) -> Iterator[pa.RecordBatch]:
+        for (k, b), found in held.items():
+            found.sort()
             shared, tails = front_code([x[0] for x in found])
-            row = [[k], [b], [shared], [tails], [[x[1] for x in found]], [[len(x[2]) for x in found]], [[t for x in found for t, _ in x[2]]], [[p for x in found for _, p in x[2]]]]
-            types = [pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(row, types, strict=True)], names=["k", "bucket", "shared", "tails", "lefts", "n_refs", "tags", "positions"])
+            columns = [shared, tails, *([x[i] for x in found] for i in range(1, 5))]
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([b], pa.int32()), *(pa.array([c], t) for c, t in zip(columns, types, strict=True))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int, bytes, bytes], list] = {}
+        held: dict[tuple[int, int], list] = {}
         size = 0
         for batch in batches:
             for row in range(batch.num_rows):
-                text, tag = batch.column(1)[row].as_py(), batch.column(0)[row].as_py()
-                at = batch.column(2)[row].values
-                for p, k, b in zip(*(at.field(i).to_pylist() for i in range(3)), strict=True):
-                    context = (k, b, text[p : p + width], text[max(0, p - width + k) : p])
-                    refs = held.get(context)
-                    if refs is None:
-                        held[context] = [(tag, p)]
-                        size += 2 * width
-                    else:
-                        refs.append((tag, p))
-                        size += 100
+                text, at = batch.column(0)[row].as_py(), batch.column(1)[row].values
+                for p, k, b, h, ctx, m in zip(*(at.field(i).to_pylist() for i in range(6)), strict=True):
+                    held.setdefault((k, b), []).append((text[p : p + width], text[max(0, p - width + k) : p], h, ctx, m))
+                    size += 2 * width
                 if size > RUN_BYTES:
                     yield from flush(held)
                     held, size = {}, 0
         yield from flush(held)
 
-    return copies.mapInArrow(run, RUN_SCHEMA)
+    return joined.mapInArrow(run, RUN_SCHEMA)
 
 
 def reach(strings: list[bytes], shared: list[int], lefts: list[bytes], counts: list[int], width: int) -> list[tuple[int, int]]:
@@ -251,59 +304,57 @@ def reach(strings: list[bytes], shared: list[int], lefts: list[bytes], counts: l
     return list(zip(left, right, strict=True))
 
 
-def _spans(runs: DataFrame, width: int) -> DataFrame:
-    """(tag, start, stop) of each covered suffix."""
+def _reached(runs: DataFrame, width: int) -> DataFrame:
+    """(k, h, ctx, l, r): how far each suffix that is covered at all is covered to its left and right."""
 
     def run(table: pa.Table) -> pa.Table:
         k = table.column("k")[0].as_py()
-        shared, tails, lefts, n_refs, tags, positions = (table.column(c).to_pylist() for c in ("shared", "tails", "lefts", "n_refs", "tags", "positions"))
-        first_ref = [np.concatenate([[0], np.cumsum(n)]).tolist() for n in n_refs]
-        out: tuple[list[int], list[int], list[int]] = ([], [], [])
-        group: list[tuple[bytes, int, bytes, list[tuple[int, int]]]] = []
+        shared, tails, lefts, hs, ctxs, counts = (table.column(c).to_pylist() for c in ("shared", "tails", "lefts", "hs", "contexts", "counts"))
+        out: tuple[list[int], ...] = ([], [], [], [])
+        group: list[tuple[bytes, int, int, int]] = []  # string, prefix shared with the one before, run, place in it
 
         def close() -> None:
-            if len(group) == 1 and len(group[0][3]) == 1:
-                return
-            found: list[tuple[bytes, int, bytes, list]] = []
-            where: dict[tuple[bytes, bytes], int] = {}
+            found: list[tuple[bytes, int, bytes, int, int]] = []
+            of: list[int] = []
+            seen: set[tuple[bytes, bytes]] = set()
             low = width + 1  # the least prefix shared since the last one kept
-            for string, common, left, refs in group:
-                low = min(low, common)
-                have = where.get((string, left))
-                if have is None:
-                    where[string, left] = len(found)
-                    found.append((string, low, left, list(refs)))
+            for string, common, which, at in group:
+                low, left = min(low, common), lefts[which][at]
+                if (string, left) not in seen:  # a row of equal id and text brings its suffixes again
+                    seen.add((string, left))
+                    found.append((string, low, left, hs[which][at], ctxs[which][at]))
+                    of.append(counts[which][at])
                     low = width + 1
-                else:
-                    found[have][3].extend(refs)
-            reached = reach([x[0] for x in found], [x[1] for x in found], [x[2] for x in found], [len(x[3]) for x in found], width)
-            for (_, _, _, refs), (l, r) in zip(found, reached, strict=True):
+            if len(found) == 1 and of[0] == 1:
+                return
+            reached = reach([x[0] for x in found], [x[1] for x in found], [x[2] for x in found], of, width)
+            for (_, _, _, h, ctx), (l, r) in zip(found, reached, strict=True):
                 if r:
-                    for tag, p in refs:
-                        out[0].append(tag)
-                        out[1].append(p - l)
-                        out[2].append(p + r)
+                    for column, value in zip(out, (h, ctx, l, r), strict=True):
+                        column.append(value)
 
         for which, at, common, string in merge([Run(s, t) for s, t in zip(shared, tails, strict=True)]):
             if common < k and group:
                 close()
                 group = []
-            refs = range(first_ref[which][at], first_ref[which][at + 1])
-            group.append((string, common, lefts[which][at], [(tags[which][i], positions[which][i]) for i in refs]))
+            group.append((string, common, which, at))
         if group:
             close()
-        return pa.table([pa.array(c, pa.int64()) for c in out], names=["tag", "start", "stop"])
+        columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())]
+        return pa.table([pa.array([k] * len(out[0]), pa.int32()), *columns], names=["k", "h", "ctx", "l", "r"])
 
-    return runs.groupBy("k", "bucket").applyInArrow(run, "tag long, start long, stop long")
+    return runs.groupBy("k", "bucket").applyInArrow(run, "k int, h long, ctx long, l int, r int")
 
 
 def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """(tag, spans): for each row's tag, a hash of id and text, the byte ranges that repeat elsewhere; they may overlap."""
     tagged = _tagged(docs, key, text)
-    cands = candidates(tagged, width, hot)
-    n_buckets = max(8, cands.count() // GROUP_ROWS)
-    spans = written(_spans(_runs(cands, tagged, width, n_buckets), width))
+    places, suffixes, covered = candidates(tagged, width, hot)
+    n_buckets = max(8, suffixes.count() // GROUP_ROWS)
+    reached = written(_reached(_runs(suffixes, tagged, width, n_buckets), width))
     released(docs.sparkSession)
+    spans = places.join(reached.hint("merge"), ["k", "h", "ctx"]).select("tag", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("stop"))
+    spans = spans.unionAll(covered)
     return spans.groupBy("tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
