@@ -145,12 +145,10 @@ def write(pages: DataFrame, *, key: str = "page_id", url: str = "url", payload:
     kind = pages.schema[key].dataType.simpleString()
     full = pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     slim = full.select("page_id", F.sha1("payload").alias("sha"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    n_bytes = slim.agg(F.sum(F.col("payload_bytes") + 500)).first()[0] or 0
-    parts = max(1, -(-n_bytes // bundle_bytes))
     again = revisits(slim, min_payload)
     all_records = full.withColumn("sha", F.sha1("payload"))
     linked = all_records.hint("merge").join(again, all_records.page_id.eqNullSafe(again._id) & (all_records.sha == again._sha), "left")
-    linked = linked.select("page_id", "url", "payload", "sha", "refers_to").repartition(parts, F.xxhash64("page_id", "sha"))
+    linked = linked.select("page_id", "url", "payload", "sha", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle, index, first = Bundle(), ([], [], []), None
@@ -169,7 +167,7 @@ def write(pages: DataFrame, *, key: str = "page_id", url: str = "url", payload:
                 index[0].append(page_id.as_py())
                 index[1].append(place[0])
                 index[2].append(place[1])
-                if bundle.size >= 2 * bundle_bytes:
+                if bundle.size >= bundle_bytes:
                     yield close()
                     bundle, index = Bundle(), ([], [], [])
         if index[0]:
