@@ -81,9 +81,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as the mix takes it; columns as they came."""
-    copies = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(F.max("copies").alias("_copies"))
-    tagged = docs.withColumn("_tag_of", F.xxhash64("doc_id", "text"))
-    out = tagged.join(copies, (F.col("_tag") == F.col("_tag_of")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+def mixed(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs with each row as often as the mix takes it; columns as they came. Rows are told apart by id and text hash, which equal rows share."""
+    slim = docs.select(key, text, source)
+    copies = mix(slim, key=key, text=text, source=source).where("copies > 0").groupBy(F.col(key).alias("_id"), F.col("tag").alias("_tag")).agg(F.max("copies").alias("_copies"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_key"), F.xxhash64(F.col(key), F.col(text)).alias("_tag_of"))
+    taken = rows.hint("merge").join(copies, (F.col("_tag") == F.col("_tag_of")) & F.col("_key").eqNullSafe(F.col("_id")))
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -3,39 +3,15 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from siftline.sources.staging import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; where that is unset, as in tests, under a new temporary folder set as such."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        had = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = had.get() if had.isDefined() else "file://" + tempfile.mkdtemp(prefix="siftline-")
-        if not had.isDefined():
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read back: lineage ends here and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder in any file system that Spark can reach."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+__all__ = ["released", "shared_dir", "written"]
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
+    """Lets Spark's cleaner drop what finished steps have left, now and not when the driver happens to collect its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
