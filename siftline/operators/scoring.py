@@ -68,6 +68,12 @@ def skip_rerank(records: DataFrame) -> DataFrame:
     return records.withColumn("audit_log", F.array_append("audit_log", F.lit("Semantic rerank skipped.")))
 
 
+def without_key(records: DataFrame) -> DataFrame:
+    """The enabled stage without credentials: a line in the audit log, by decision."""
+    line = F.when(F.col("filter_decision") == "pass", F.lit("Semantic rerank skipped because API key is missing.")).otherwise(F.lit("Semantic rerank not allowed for non-passing job."))
+    return records.withColumn("audit_log", F.array_append("audit_log", line))
+
+
 def merge_answers(records: DataFrame, answer: Column) -> DataFrame:
     """Adds an answer (a struct like ANSWER, null where there is none) to each passed record."""
     passed = F.col("filter_decision") == "pass"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from siftline.config import App, Profiles, Rules
 from siftline.operators.identity import identity
 from siftline.operators.rules import apply_rules
-from siftline.operators.scoring import final_tier, rerank, score, skip_rerank
+from siftline.operators.scoring import final_tier, rerank, score, skip_rerank, without_key
 from siftline.operators.state import acknowledged, upsert
 from siftline.plans import reports
 from siftline.sources.scan import Pages, records_of, union
@@ -48,17 +48,40 @@ def chat_sender(app: App) -> Send | None:
     return send
 
 
+def model_asker(app: App, *, url: str = "https://api.openai.com/v1/responses", timeout: float = 60.0) -> Ask | None:
+    """Asks a hosted model, prompt by prompt; None where the key is missing."""
+    key, model = os.environ.get(app.rerank.api_key_env), app.rerank.model
+    if not key:
+        return None
+
+    def ask(prompts: pd.Series) -> pd.Series:
+        import requests
+
+        def one(prompt: str) -> str:
+            answer = requests.post(url, headers={"Authorization": f"Bearer {key}"}, json={"model": model, "input": prompt}, timeout=timeout)
+            answer.raise_for_status()
+            said = [part["text"] for item in answer.json()["output"] for part in item.get("content") or [] if part.get("type") == "output_text"]
+            return "".join(said)
+
+        return prompts.map(one)
+
+    return ask
+
+
 class Engine:
     """The five commands over one store."""
 
     def __init__(self, spark: SparkSession, app: App, pages: Pages, *, send: Send | None = None, ask: Ask | None = None) -> None:
-        self.spark, self.app, self.pages, self.ask = spark, app, pages, ask
+        self.spark, self.app, self.pages = spark, app, pages
+        self.ask = ask or (model_asker(app) if app.rerank.enabled else None)
         self.send = send or chat_sender(app)
         self.store = Store(spark, app.store)
 
     def _reranked(self, records: DataFrame) -> DataFrame:
-        if not (self.app.rerank.enabled and self.ask):
+        if not self.app.rerank.enabled:
             return skip_rerank(records)
+        if self.ask is None:
+            return without_key(records)
         template = Path(self.app.rerank.prompt_path).read_text(encoding="utf-8")
         return rerank(records, self.ask, template=template, max_chars=self.app.rerank.max_description_chars)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from datetime import datetime
@@ -182,6 +183,14 @@ def landed(table: DataFrame) -> Pages:
     return lambda urls: table.where(F.col("url").isin(list(urls))).select("url", "html")
 
 
+def json_object(text: str) -> dict[str, Any]:
+    """A fetched JSON document, which must be an object."""
+    data = json.loads(text)
+    if not isinstance(data, dict):
+        raise ValueError("expected a JSON object")
+    return data
+
+
 def fetched(spark: SparkSession, *, timeout: float = 20.0) -> Pages:
     """Pages fetched by tasks: retries 3, backoff 0.5 on 429 and 5xx; an HTTP error fails the source."""
 

@@ -51,6 +51,22 @@ def test_without_sender_a_rows_stay_due(spark, tmp_path):
     assert engine.run(T0)["alerts"] == 0 and engine.store.state().where("last_alerted_tier is not null").count() == 0
 
 
+def test_rerank_in_the_run(spark, tmp_path, monkeypatch):
+    from dataclasses import replace
+
+    monkeypatch.delenv("OPENAI_API_KEY", raising=False)
+    (tmp_path / "p.txt").write_text("{title}")
+    pages = landed(spark.createDataFrame([("https://e.org/c", CARDS)], "url string, html string"))
+    base = replace(app(tmp_path / "s"), rerank=Rerank(enabled=True, prompt_path=str(tmp_path / "p.txt")))
+    engine = Engine(spark, base, pages)
+    engine.run(T0)
+    lines = {r.title: r.audit_log[-1] for r in engine.store.state().collect()}
+    assert lines["Title"] == "Semantic rerank skipped because API key is missing." and lines[""] == "Semantic rerank not allowed for non-passing job."
+    Engine(spark, base, pages, ask=lambda p: p.map(lambda x: '{"semantic_score": 1.5, "risks": ["r"]}')).run(T0)
+    row = engine.store.state().where("title = 'Title'").first()
+    assert row.fit_score == 21.5 and row.risks == ["r"] and row.audit_log[-1] == "Semantic rerank added 1.50 points."
+
+
 def test_limit_comes_before_the_filter(spark):
     rows = spark.range(6).select(*[F.lit(None).cast("string").alias(c) for c in reports.CSV_COLUMNS if c not in ("job_uid", "tier", "matched_signals", "detected_blockers")], F.col("id").cast("string").alias("job_uid"), F.when(F.col("id") % 2 == 0, "C").otherwise("B").alias("tier"), F.array(F.lit("x"), F.lit("y")).alias("matched_signals"), F.array().cast("array<string>").alias("detected_blockers"), (F.lit(T0) + F.make_interval(hours=F.col("id").cast("int"))).alias("updated_at"))
     got = reports.shortlist(rows, 3)

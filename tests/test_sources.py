@@ -5,7 +5,7 @@ import pytest
 from siftline.cli import parser
 from siftline.config import Rules, Source, expand, load, read_yaml
 from siftline.sources.html import parse
-from siftline.sources.scan import cards, empty_records, fetched, heading_blocks, landed, records_of, register, union
+from siftline.sources.scan import cards, empty_records, fetched, heading_blocks, json_object, landed, records_of, register, union
 from siftline.sources.store import Store
 from tests.records import records
 
@@ -54,6 +54,9 @@ def test_sources(spark, tmp_path):
         records_of(spark, Source("n", "x"), landed(pages), T0)
     register("mine", lambda spark, source, pages, ts: empty_records(spark))
     assert union([records_of(spark, Source("n", "mine"), landed(pages), T0), records(spark, {"title": "t"})]).count() == 1
+    assert json_object('{"a": 1}') == {"a": 1}
+    with pytest.raises(ValueError):
+        json_object("[1]")
     assert fetched(spark)([]).columns == ["url", "html"]
 
 
@@ -67,6 +70,9 @@ def test_config(tmp_path, monkeypatch):
         (tmp_path / "c" / name).write_text(text)
     app = load(tmp_path / "c" / "settings.yaml")
     assert app.store == "f" and app.rules == Rules(closed_phrases=["gone"]) and app.profiles.threshold_a == 12.0 and app.profiles.threshold_b == 8.0 and not app.sources[0].enabled and app.chat.enabled
+    (tmp_path / "c" / "llm_prompt.txt").write_text("{title}")
+    (tmp_path / "c" / "settings.yaml").write_text("llm: {enabled: true, prompt_path: c/llm_prompt.txt}\n")
+    assert load(tmp_path / "c" / "settings.yaml").rerank.prompt_path == str(tmp_path / "c" / "llm_prompt.txt")
     (tmp_path / "bad.yaml").write_text("- 1\n")
     (tmp_path / "empty.yaml").write_text("")
     assert read_yaml(tmp_path / "empty.yaml") == {}
