@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,16 +91,29 @@ def counterfactuals(sentences: list[str], terms: tuple[tuple[str, ...], ...] = I
     return pairs
 
 
+class Bags:
+    """Rows of distinct feature numbers: all of them side by side, and n + 1 bounds."""
+
+    def __init__(self, flat: np.ndarray, bounds: np.ndarray) -> None:
+        self.flat, self.bounds, self.n = flat, bounds, len(bounds) - 1
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray]) -> Bags:
+        flat = np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32)
+        return cls(flat, np.cumsum([0, *map(len, rows)]))
+
+    def counts(self, n_features: int, chosen: np.ndarray | None = None) -> np.ndarray:
+        flat = self.flat if chosen is None else self.flat[np.repeat(chosen, np.diff(self.bounds))]
+        return np.bincount(flat, minlength=n_features).astype(float)
+
+
 class Sparse:
-    """Rows of distinct feature numbers."""
+    """Bags with only the features of a lookup, which gives their new numbers, or -1."""
 
-    def __init__(self, rows: list[np.ndarray], columns: dict[int, int] | np.ndarray) -> None:
-        lookup = columns
-        kept = [lookup[r] for r in rows]
-        kept = [k[k >= 0] for k in kept]
-        self.of = np.repeat(np.arange(len(rows)), [len(k) for k in kept])
-        self.at = np.concatenate(kept) if kept else np.empty(0, np.int64)
-        self.n = len(rows)
+    def __init__(self, bags: Bags, lookup: np.ndarray) -> None:
+        kept = np.flatnonzero(lookup[bags.flat] >= 0)
+        self.at, self.n = lookup[bags.flat[kept]], bags.n
+        self.of = np.searchsorted(bags.bounds, kept, side="right") - 1
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.of, weights=w[self.at], minlength=self.n)
@@ -112,28 +126,27 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def telling(rows: list[np.ndarray], positive: np.ndarray, n_features: int, least: float = CHI_SQUARED) -> np.ndarray:
+def telling(rows: Bags, positive: np.ndarray, n_features: int, least: float = CHI_SQUARED) -> np.ndarray:
     """Features found more often in texts of label 1, by the chi-squared statistic of the two-by-two table."""
-    n, n1 = len(rows), int(positive.sum())
-    both = np.bincount(np.concatenate(rows), minlength=n_features).astype(float)
-    ones = np.bincount(np.concatenate([r for r, y in zip(rows, positive, strict=True) if y]), minlength=n_features).astype(float)
+    n, n1 = rows.n, int(positive.sum())
+    both, ones = rows.counts(n_features), rows.counts(n_features, positive)
     cross = ones * (n - n1 - (both - ones)) - (both - ones) * (n1 - ones)
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = n * cross * cross / (both * (n - both) * n1 * (n - n1))
     return np.flatnonzero((cross > 0) & (chi >= least))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], *, n_features: int = N_FEATURES, rounds: int = ROUNDS, l1: float = L1, l2: float = L2, counterfactual: float = COUNTERFACTUAL) -> np.ndarray:
+def fit(rows: Bags, labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], *, n_features: int = N_FEATURES, rounds: int = ROUNDS, l1: float = L1, l2: float = L2, counterfactual: float = COUNTERFACTUAL) -> np.ndarray:
     """Weights, the intercept last, by accelerated proximal gradient steps on balanced log loss + penalties; weights are 0 or more."""
     weights = np.zeros(n_features + 1, dtype=np.float64)
     positive = labels > 0
-    if not len(rows) or positive.all() or not positive.any():
+    if not rows.n or positive.all() or not positive.any():
         weights[-1] = -40.0
         return weights
     used = telling(rows, positive, n_features)
-    lookup = np.full(n_features, -1, dtype=np.int64)
+    lookup = np.full(n_features, -1, dtype=np.int32)
     lookup[used] = np.arange(len(used))
-    x, a, b = Sparse(rows, lookup), Sparse([p[0] for p in pairs], lookup), Sparse([p[1] for p in pairs], lookup)
+    x, a, b = (Sparse(bags, lookup) for bags in (rows, Bags.of([p[0] for p in pairs]), Bags.of([p[1] for p in pairs])))
     share = np.where(positive, 0.5 / positive.sum(), 0.5 / (~positive).sum())
     # step by feature, from a bound on the curvature: rare ones move as far as common ones
     size = np.bincount(x.of, minlength=x.n) + 1.0
@@ -157,7 +170,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray
         nxt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, d = to + (t - 1) / nxt * (to - w), to0 + (t - 1) / nxt * (to0 - c)
         w, c, t = to, to0, nxt
-    weights[used], weights[-1] = w, c
+    # without any evidence a text is no likelier toxic than the training texts are on the whole
+    weights[used], weights[-1] = w, min(c, np.log(positive.sum() / (~positive).sum()))
     return weights
 
 
@@ -171,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     known = labels.where(f"{key} is not null and {label} is not null").groupBy(key).agg(F.max(label).cast("int").alias("_label"))
     # the sample by hash of id: ids only until it is known, then its few texts
     chosen = known.orderBy(F.xxhash64(key), key).limit(max_train)
-    sample = docs.select(key, text).join(F.broadcast(chosen), key).select(F.col(text).alias("text"), "_label")
+    sample = docs.select(key, text).join(F.broadcast(chosen), key).select(F.col(text).alias("text"), "_label", F.xxhash64(key, text).alias("_order"))
     names = {t for group in terms for t in group}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,15 +197,18 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
                 found = []
                 for value in batch.column(0).slice(a, b - a).to_pylist():
                     found.append([s[:500] for s in (value or "").replace("\n", ". ").split(". ") if names & set(s.lower().split())][:4])
-                yield pa.record_batch([lists, batch.column(1).slice(a, b - a), pa.array(found, pa.list_(pa.string()))], names=["at", "label", "sentences"])
+                yield pa.record_batch([lists, batch.column(1).slice(a, b - a), pa.array(found, pa.list_(pa.string())), batch.column(2).slice(a, b - a)], names=["at", "label", "sentences", "place"])
 
-    got = sample.mapInArrow(run, "at array<int>, label int, sentences array<string>").toArrow()  # at most max_train rows
+    got = sample.mapInArrow(run, "at array<int>, label int, sentences array<string>, place long").toArrow()  # the rows of max_train ids
     # one order whatever the partitions, so that sums, and the model, are the same on every run
-    rows = [(r.values.to_numpy().astype(np.int64), y.as_py()) for r, y in zip(got.column("at"), got.column("label"), strict=True)]
-    rows.sort(key=lambda r: (r[1], r[0].tobytes()))
+    got = got.take(pa.array(np.argsort(got.column("place").to_numpy(), kind="stable")))
+    sizes = pc.list_value_length(got.column("at")).to_numpy()
+    flat = np.concatenate([c.flatten().to_numpy() for c in got.column("at").chunks]) if len(got) else np.empty(0, np.int32)
     sentences = sorted({s for r in got.column("sentences").to_pylist() for s in r})
     pairs = [(text_features(a), text_features(b)) for a, b in counterfactuals(sentences, terms)]
-    return fit([r[0] for r in rows], np.array([r[1] for r in rows]), pairs)
+    labels_of = got.column("label").to_numpy()
+    del got
+    return fit(Bags(flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), labels_of, pairs)
 
 
 def score(docs: DataFrame, weights: np.ndarray, *, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
