@@ -4,22 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import op4_toxicity, op6_simhash, op7_mixing, op9_suffix, op10_packing
-from siftline.llm.storage import written
+from siftline.llm import op4_toxicity, op6_similar, op7_mixing, op9_suffix, op10_packing
+from siftline.llm.storage import bounded_batches, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the counterfactual-regularised classifier rejects."""
+    bounded_batches(spark)
     return op4_toxicity.clean(spark, docs, sf_dir)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return op6_simhash.representatives(docs)
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    bounded_batches(spark)
+    return op6_similar.representatives(docs)
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of strings that repeat; n_chars is counted anew."""
+    bounded_batches(spark)
     return op9_suffix.shortened(docs)
 
 
@@ -29,8 +32,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their bins."""
-    return op10_packing.pack(docs)
+    """The pieces of all documents with their bins and texts."""
+    return op10_packing.pack(docs, texts=True)
 
 
 STAGES = [

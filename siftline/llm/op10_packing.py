@@ -7,8 +7,9 @@ The search starts at the smallest residual that fits and goes on to the next lar
 neither the item's cluster nor its source too often: the tightest compatible bin. Without one, a new bin
 is opened. Nothing is dropped.
 
-A shard holds about ``shard_rows`` documents chosen by hash, so work and memory are bounded by it, copies
-and hot sources spread evenly, and a lost task packs the same shard in the same way again.
+A shard holds about ``shard_rows`` documents (or ``SHARD_BYTES`` of text, if texts are asked for) chosen by
+hash, so work and memory are bounded by it, copies and hot sources spread evenly, and a lost task packs the
+same shard in the same way again.
 
 Defined cases: documents without words get one row with a null bin; a null source is one source; repeated
 rows are items each on its own (and copies of each other); ties of size go by hash, then id. Null ids are
@@ -17,15 +18,18 @@ packed. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.op7_mixing import n_words
+from siftline.llm.op7_mixing import WORD, n_words
 
+_WORD = re.compile(WORD)
 CAPACITY, MAX_PER_SOURCE, SHARD_ROWS = 2048, 2, 8192
+SHARD_BYTES = 16 << 20
 
 
 class Bin:
@@ -67,12 +71,17 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int, per_source: int)
     return out
 
 
-def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", cluster: Column | None = None, capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(key, piece, start_word, n_words, bin_id, bin_offset): each document's pieces. cluster: its duplicate cluster, by default equal texts."""
+def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", cluster: Column | None = None, capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE, shard_rows: int = SHARD_ROWS, texts: bool = False) -> DataFrame:
+    """(key, piece, start_word, n_words, bin_id, bin_offset) of each document's pieces, and with texts their text.
+
+    cluster: a document's duplicate cluster, by default equal texts. A piece's text goes from its first word to
+    the next piece's, so that a document's pieces side by side are its text.
+    """
     kind = docs.schema[key].dataType.simpleString()
     cluster = F.xxhash64(F.lower(text)) if cluster is None else cluster
-    n_shards = max(1, -(-docs.count() // shard_rows))
-    item = docs.select(F.col(key).alias("k"), n_words(text).alias("size"), F.col(source).cast("string").alias("source"), cluster.cast("long").alias("cluster"), F.xxhash64(F.col(key), F.col(text)).alias("tag"))
+    n_rows, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    n_shards = max(1, -(-n_rows // shard_rows), -(-n_bytes // SHARD_BYTES) if texts else 1)
+    item = docs.select(F.col(key).alias("k"), n_words(text).alias("size"), F.col(source).cast("string").alias("source"), cluster.cast("long").alias("cluster"), F.xxhash64(F.col(key), F.col(text)).alias("tag"), *([F.col(text).alias("text")] if texts else []))
     item = item.withColumn("shard", F.pmod(F.xxhash64("tag"), F.lit(n_shards)).cast("int"))
     names = [key, "piece", "start_word", "n_words", "bin_id", "bin_offset"]
 
@@ -102,9 +111,27 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: st
         for (_, at, piece, _, _, rest), (number, offset) in zip(rests, best_fit([(x[5], x[3], x[4]) for x in rests], capacity, max_per_source), strict=True):
             put(at, piece, piece * capacity, rest, first + closed + number, offset)
         keys = table.column("k").take(pa.array(rows[0], pa.int64()))
-        return pa.table([keys, pa.array(rows[1], pa.int32()), *[pa.array(c, pa.int64()) for c in rows[2:]]], names=names)
-
-    return item.groupBy("shard").applyInArrow(run, f"`{key}` {kind}, piece int, start_word long, n_words long, bin_id long, bin_offset long")
+        columns = [keys, pa.array(rows[1], pa.int32()), *[pa.array(c, pa.int64()) for c in rows[2:]]]
+        if texts:
+            columns.append(pa.array(_cut(table.column("text"), rows[0], rows[2], rows[3], capacity), pa.string()))
+        return pa.table(columns, names=[*names, "text"] if texts else names)
+
+    return item.groupBy("shard").applyInArrow(run, f"`{key}` {kind}, piece int, start_word long, n_words long, bin_id long, bin_offset long" + ", text string" * texts)
+
+
+def _cut(texts: pa.ChunkedArray, rows: list[int], first: list[int], n_words: list[int], least: int) -> list[str | None]:
+    """The text of each piece (row, first word, number of words); first pieces below ``least`` words are whole documents."""
+    out: list[str | None] = []
+    starts: dict[int, list[int]] = {}
+    for row, at, n in zip(rows, first, n_words, strict=True):
+        text = texts[row].as_py()
+        if text is not None and (at or n >= least):
+            if row not in starts:
+                starts[row] = [m.start() for m in _WORD.finditer(text)]
+            cuts = starts[row]
+            text = text[cuts[at] if at else 0 : cuts[at + n] if at + n < len(cuts) else len(text)]
+        out.append(text)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

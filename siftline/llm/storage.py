@@ -8,7 +8,16 @@ from pyspark.sql import SparkSession
 
 from siftline.sources.staging import shared_dir, written
 
-__all__ = ["released", "shared_dir", "written"]
+__all__ = ["bounded_batches", "released", "shared_dir", "written"]
+
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Fewer rows to an Arrow batch than Spark's default: texts are long, and the JVM and Python each hold a batch whole."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def released(spark: SparkSession) -> None:

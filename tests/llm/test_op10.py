@@ -67,6 +67,18 @@ def test_pack(spark):
     assert [(p.piece, p.start_word, p.n_words) for p in sorted((p for p in got if p.doc_id == 154), key=lambda p: p.piece)] == [(k, 128 * k, min(128, 3000 - 128 * k)) for k in range(24)]
 
 
+def test_texts_of_pieces(spark):
+    data = rows(3, 60) + [(900, "  spaced\n out " * 300, "en", "s9", 1)]
+    got = op.pack(documents(spark, data), capacity=128, texts=True).collect()
+    by = defaultdict(list)
+    for g in sorted(got, key=lambda g: g.piece):
+        by[g.doc_id].append(g)
+        assert g.text is None or len(WORD.findall(g.text)) == g.n_words
+    for r in data:
+        if sum(x[0] == r[0] for x in data) == 1:
+            assert (None if r[1] is None else "".join(g.text for g in by[r[0]])) == r[1]
+
+
 def test_query(spark, sf):
     data = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     check(op.query(spark, sf).collect(), data, op.CAPACITY, op.MAX_PER_SOURCE)
