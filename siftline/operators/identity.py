@@ -10,17 +10,24 @@ from siftline.functions.text import canonical_url, normalize, or_else, stable_ha
 PREFIX = 800
 
 
-def identity(records: DataFrame) -> DataFrame:
-    """records with job_uid, fingerprint and content_hash."""
+def content_keys(records: DataFrame) -> DataFrame:
+    """records with _by_id, fingerprint and content_hash: all of the identity that needs texts, and no URL.
+
+    Where URLs come from a join, take these keys first and leave the texts out of its shuffle.
+    """
     by_id = F.when(F.coalesce(F.col("source_job_id"), F.lit("")) != "", F.concat(F.col("source"), F.lit(":"), normalize(F.col("source_job_id")))).otherwise("")
-    by_url = or_else(canonical_url(or_else(F.col("apply_url"), F.col("original_url"))), canonical_url(F.col("original_url")))
     parts = [normalize(F.col(c)) for c in ("company", "title", "location_text", "remote_text")] + [normalize(F.substring("description_clean", 1, PREFIX))]
-    out = records.withColumns({"_by_id": by_id, "_by_url": by_url, "_body": F.concat_ws("|", *parts)})
-    out = out.withColumn("fingerprint", stable_hash(F.col("_body")))
-    more = [normalize(F.col(c)) for c in ("salary_text", "timezone_text", "employment_type")]
-    return out.withColumns(
-        {
-            "job_uid": stable_hash(or_else(F.col("_by_id"), F.col("_by_url"), F.col("fingerprint"))),
-            "content_hash": stable_hash(F.concat_ws("|", "_body", *more, "status")),
-        }
-    ).drop("_by_id", "_by_url", "_body")
+    more = [normalize(F.col(c)) for c in ("salary_text", "timezone_text", "employment_type", "status")]
+    out = records.withColumns({"_by_id": by_id, "_body": F.concat_ws("|", *parts)})
+    return out.withColumns({"fingerprint": stable_hash(F.col("_body")), "content_hash": stable_hash(F.concat_ws("|", "_body", *more))}).drop("_body")
+
+
+def identified(keyed: DataFrame) -> DataFrame:
+    """Rows of ``content_keys`` with apply_url and original_url, plus job_uid."""
+    by_url = or_else(canonical_url(or_else(F.col("apply_url"), F.col("original_url"))), canonical_url(F.col("original_url")))
+    return keyed.withColumn("job_uid", stable_hash(or_else(F.col("_by_id"), by_url, F.col("fingerprint")))).drop("_by_id")
+
+
+def identity(records: DataFrame) -> DataFrame:
+    """records with job_uid, fingerprint and content_hash. No shuffle."""
+    return identified(content_keys(records))

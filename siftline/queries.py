@@ -17,7 +17,7 @@ from siftline.functions.text import any_hit, canonical_url, compact, normalize,
 from siftline.operators import rules as R
 from siftline.operators import scoring as S
 from siftline.operators import state as ST
-from siftline.operators.identity import identity
+from siftline.operators.identity import content_keys, identified
 from siftline.plans import reports
 from siftline.sources.scan import scan_cards, scan_headings
 from siftline.sources.staging import written
@@ -77,11 +77,11 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def located_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the URL of the page of the same number, or ''."""
+def located_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identity with the URL of the page of the same number, or ''. Keys are made before the join, so no text is shuffled."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("_url"))
-    r = document_records(spark, sf_dir).join(pages, "doc_id", "left")
-    return r.withColumn("original_url", F.coalesce("_url", F.lit(""))).drop("_url")
+    keys = content_keys(document_records(spark, sf_dir)).select("doc_id", "apply_url", "_by_id", "fingerprint", "content_hash")
+    return identified(keys.join(pages, "doc_id", "left").withColumn("original_url", F.coalesce("_url", F.lit(""))))
 
 
 def final(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,11 +172,11 @@ def stub_rerank(spark, sf_dir):
 
 
 def dedup_identity(spark, sf_dir):
-    return identity(located_records(spark, sf_dir)).select("doc_id", "job_uid", "fingerprint", "content_hash")
+    return located_identity(spark, sf_dir).select("doc_id", "job_uid", "fingerprint", "content_hash")
 
 
 def dedup_latest(spark, sf_dir):
-    i = identity(located_records(spark, sf_dir))
+    i = located_identity(spark, sf_dir)
     return i.groupBy("job_uid").agg(F.max_by("content_hash", "doc_id").alias("content_hash"), F.max("doc_id").alias("doc_id"), F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n_seen"))
 
 
