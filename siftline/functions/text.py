@@ -7,26 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Code points whose full case folding is longer than one character and reaches ASCII letters.
-FOLDED = "ßŉǰẖẗẘẙẚẞﬀﬁﬂﬃﬄﬅﬆ"
+#: Code points, in lower case, whose full case folding reaches ASCII letters and is not their lower case.
+FOLDED = "ſßŉǰẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆ"
 #: Unicode whitespace as a regular-expression class.
 WHITESPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-NOT_NORMAL = r"[^a-z0-9\s:/+-]"
-
-
-def _casefold(c: Column) -> Column:
-    """Full case folding as far as ASCII results go: that of other characters is lost in the normal form."""
-    c = F.translate(c, "ſ", "s")
-    rare = c
-    for x in FOLDED:
-        rare = F.replace(rare, F.lit(x), F.lit(x.casefold()))
-    return F.lower(F.when(c.rlike(f"[{FOLDED}]"), rare).otherwise(c))
+NOT_KEPT = "[^a-z0-9:/+-]+"
 
 
 def normalize(c: Column) -> Column:
-    """Case-folded, with everything but a-z, 0-9, ``: / + -`` as single spaces; null gives ''."""
-    c = _casefold(F.coalesce(c, F.lit("")))
-    return F.trim(F.regexp_replace(F.regexp_replace(c, NOT_NORMAL, " "), r"\s+", " "))
+    """Case-folded, with everything but a-z, 0-9, ``: / + -`` as single spaces; null gives ''.
+
+    A chain without branches, so no step is ever computed twice: plain searches for the few characters that lower
+    case does not fold, then one regular expression that turns runs of whatever is not kept into a space.
+    """
+    c = F.lower(F.coalesce(c, F.lit("")))
+    for x in FOLDED:
+        c = F.replace(c, F.lit(x), F.lit(x.casefold()))
+    return F.trim(F.regexp_replace(c, NOT_KEPT, " "))
 
 
 def normalize_literal(text: str) -> str:
@@ -72,19 +69,22 @@ def stable_hash(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
-def phrase_hits(text: Column, phrases: Sequence[str]) -> Column:
-    """The phrases, in their order, whose normal form is in the normalised text."""
+def phrase_hits(text: Column, phrases: Sequence[str], label: str = "") -> Column:
+    """The phrases, in their order and after a label, whose normal form is in the normalised text.
+
+    One conditional for each phrase: text stands outside of lambdas, so Spark does not compute it once for each phrase.
+    """
     if not phrases:
         return F.array().cast("array<string>")
-    pairs = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(normalize_literal(p)).alias("n")) for p in phrases])
-    return F.transform(F.filter(pairs, lambda x: text.contains(x["n"])), lambda x: x["p"])
+    return F.array_compact(F.array(*[F.when(text.contains(F.lit(normalize_literal(p))), F.lit(label + p)) for p in phrases]))
 
 
 def any_hit(text: Column, phrases: Sequence[str]) -> Column:
     """Whether a phrase's normal form is in the normalised text."""
-    if not phrases:
-        return F.lit(False)
-    return F.exists(F.array(*[F.lit(normalize_literal(p)) for p in phrases]), lambda p: text.contains(p))
+    out = F.lit(False)
+    for p in phrases:
+        out = out | text.contains(F.lit(normalize_literal(p)))
+    return out
 
 
 def html_escape(c: Column) -> Column:

@@ -34,10 +34,6 @@ def normalized(records: DataFrame) -> DataFrame:
     return each.withColumn("_blob", F.concat_ws(" ", *parts)).drop("_location_text", "_remote_text", "_timezone_text", "_employment_type")
 
 
-def _labelled(label: str, hits: Column) -> Column:
-    return F.transform(hits, lambda h: F.concat(F.lit(f"{label}:"), h))
-
-
 def _one(condition: Column, value: Column) -> Column:
     return F.when(condition, F.array(value)).otherwise(F.array().cast("array<string>"))
 
@@ -55,19 +51,19 @@ def hits(records: DataFrame, rules: Rules) -> DataFrame:
     return records.select(
         "*",
         _one(F.col("status") == "closed", F.lit("status:closed")).alias("h_closed"),
-        _labelled("status_phrase", phrase_hits(blob, rules.closed_phrases)).alias("h_closed_phrase"),
+        phrase_hits(blob, rules.closed_phrases, "status_phrase:").alias("h_closed_phrase"),
         _one(is_listed(company, rules.company_blacklist), F.concat(F.lit("company_blacklist:"), F.col("company"))).alias("h_blacklist"),
-        F.when(cancelled, none).otherwise(_labelled("geo_blocker", phrase_hits(blob, rules.geography_blockers))).alias("h_geography"),
-        _labelled("timezone_blocker", phrase_hits(blob, rules.timezone_blockers)).alias("h_timezone"),
-        _labelled("title_blocker", phrase_hits(title, rules.negative_title_signals)).alias("h_title"),
-        _labelled("desc_blocker", phrase_hits(blob, rules.negative_description_signals)).alias("h_description"),
-        _labelled("phrase_blocker", phrase_hits(blob, rules.blocker_phrases)).alias("h_phrase"),
-        _labelled("title_signal", phrase_hits(title, rules.positive_title_signals)).alias("h_title_signal"),
-        _labelled("description_signal", phrase_hits(blob, rules.positive_description_signals)).alias("h_description_signal"),
-        _labelled("allowlist", phrase_hits(blob, rules.allowlist_phrases)).alias("h_allowlist"),
+        F.when(cancelled, none).otherwise(phrase_hits(blob, rules.geography_blockers, "geo_blocker:")).alias("h_geography"),
+        phrase_hits(blob, rules.timezone_blockers, "timezone_blocker:").alias("h_timezone"),
+        phrase_hits(title, rules.negative_title_signals, "title_blocker:").alias("h_title"),
+        phrase_hits(blob, rules.negative_description_signals, "desc_blocker:").alias("h_description"),
+        phrase_hits(blob, rules.blocker_phrases, "phrase_blocker:").alias("h_phrase"),
+        phrase_hits(title, rules.positive_title_signals, "title_signal:").alias("h_title_signal"),
+        phrase_hits(blob, rules.positive_description_signals, "description_signal:").alias("h_description_signal"),
+        phrase_hits(blob, rules.allowlist_phrases, "allowlist:").alias("h_allowlist"),
         _one(is_listed(company, rules.company_whitelist), F.concat(F.lit("company_whitelist:"), F.col("company"))).alias("h_whitelist"),
-        _labelled("timezone_signal", phrase_hits(blob, rules.timezone_allowed)).alias("h_timezone_signal"),
-        _labelled("review_flag", phrase_hits(blob, rules.review_phrases)).alias("h_review"),
+        phrase_hits(blob, rules.timezone_allowed, "timezone_signal:").alias("h_timezone_signal"),
+        phrase_hits(blob, rules.review_phrases, "review_flag:").alias("h_review"),
     )
 
 
