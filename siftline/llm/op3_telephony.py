@@ -180,7 +180,7 @@ def _features(payload: np.ndarray, rate: int) -> str:
     return ";".join(said)
 
 
-def decode_media(table: DataFrame, *, key: str = "doc_id", unit: int = UNIT, batch_bytes: int = tv.BLOCK) -> DataFrame:
+def decode_media(table: DataFrame, *, key: str = "doc_id", unit: int = UNIT, batch_bytes: int = 1 << 20) -> DataFrame:
     """Reads stored media back: the payload's digests and the features of its audio."""
     kind = table.schema[key].dataType.simpleString()
     names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             last = batch.num_columns - 1
-            for a, b, data, offsets in tv.each_block(batch.column(last), tv.BLOCK // 2):
+            for a, b, data, offsets in tv.each_block(batch.column(last)):
                 yield pa.record_batch([*(batch.column(i).slice(a, b - a) for i in range(last)), pa.array(fingerprints_of(data, offsets, width))], names=[key, *carry, "fp"])
 
     return slim.mapInArrow(run, schema)

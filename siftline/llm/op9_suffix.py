@@ -49,7 +49,7 @@ from siftline.llm.storage import released, written
 WIDTH = 400
 HOT = 30_000
 #: Suffixes to a merge task, and bytes of suffixes held while a run is made.
-GROUP_ROWS, RUN_BYTES = 40_000, 48 << 20
+GROUP_ROWS, RUN_BYTES = 20_000, 24 << 20
 PIECE = 8 << 20
 _INDEX = np.uint64((1 << 24) - 1)
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 #: The bytes that separate words, U+0009 to U+000D and U+0020.
 SPACES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
