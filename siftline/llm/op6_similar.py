@@ -34,9 +34,9 @@ from siftline.llm.storage import written
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, RECALL = 2, 0.95
-MIN_BITS, SPARE_BITS, MAX_BITS = 24, 6, 48
+MIN_BITS, SPARE_BITS, MAX_BITS = 24, 9, 48
 #: Variants to a shuffle; more fingerprints are dealt with one after the other, so that disk is bounded.
-VARIANTS = 16_000_000
+VARIANTS = 12_000_000
 
 
 def scheme(n_texts: int, similarity: float = SIMILARITY) -> tuple[int, int, int]:
@@ -103,7 +103,8 @@ def _nodes(docs: DataFrame, text: str, bits: int, count: int, width: int) -> Dat
 
 def candidate_pairs(nodes: DataFrame, bits: int, count: int, most: int) -> DataFrame:
     """(lo, hi): pairs that meet in a variant and differ in at most ``most`` bits of all."""
-    n = max(1, nodes.count())
+    n, spread = max(1, nodes.count()), int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = nodes.repartition(spread)  # few small files would be few tasks, and each row becomes hundreds
     at_once = max(1, min(count, VARIANTS // (n * (bits + 1))))
     found = None
     for first in range(0, count, at_once):

@@ -69,7 +69,7 @@ def test_shingles_like_brute_force():
 def test_scheme_keeps_recall():
     for n in (10, 10**5, 10**9, 10**12):
         bits, count, most = op.scheme(n)
-        assert bits <= op.MAX_BITS and 2**bits >= min(n * 16, 2**op.MAX_BITS) and 0 < most < bits * count * 0.35
+        assert bits <= op.MAX_BITS and 2**bits >= min(n * 512, 2**op.MAX_BITS) and 0 < most < bits * count * 0.4
     assert op.scheme(1000, 0.95)[1] < op.scheme(1000, 0.8)[1]
 
 
