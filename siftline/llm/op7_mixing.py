@@ -28,7 +28,7 @@ from siftline.llm.storage import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MAX_EPOCHS = (3, 1, 2), 1.5, 2
-SLICE_ROWS, MIN_SLICES = 50_000, 16
+SLICE_ROWS, MIN_SLICES = 50_000, 64
 
 
 def n_words(text: str) -> Column:
