@@ -132,7 +132,7 @@ class Seekable:
 def revisits(slim: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
     """(page_id, sha, refers_to) of the records that repeat a smaller id's payload; slim: page_id, sha, payload_bytes."""
     again = slim.where(F.col("payload_bytes") >= min_payload).groupBy("sha", "payload_bytes").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
-    again = again.where("n > 1 and refers_to is not null").drop("n")
+    again = written(again.where("n > 1 and refers_to is not null").drop("n"))  # so that the join below is one of plain shuffles, which can be split
     same = slim.join(again.hint("merge"), ["sha", "payload_bytes"])
     return same.where("page_id is null or page_id <> refers_to").select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "refers_to").distinct()
 

@@ -119,9 +119,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     fps = written(found.groupBy("fp").agg(F.min(key).alias("least")))
     rooted = components(links(written(with_partners(fps))))
     of = fps.join(rooted, fps.fp == rooted.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("component"))
-    ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = of.select("fp", "component").join(ids, "component")
-    return found.join(of, "fp").select(key, *carry, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component", "component_id")
+    of = written(of)
+    ids = written(of.groupBy("component").agg(F.min("least").alias("component_id")))  # a plain shuffle next to the join, which can be split
+    of = of.select("fp", "component").join(ids.hint("merge"), "component")
+    return found.join(of.hint("merge"), "fp").select(key, *carry, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component", "component_id")
 
 
 def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
