@@ -8,9 +8,14 @@ that grow with the logarithm of the number of texts, so chance meetings stay pro
 fingerprints as a pair at the similarity bound needs to meet with probability ``RECALL`` (more similar pairs
 meet with more). Pairs far apart over all bits are dropped, the others verified by exact Jaccard similarity.
 
-A group at a variant gives links to its smallest and its largest member only. Verification goes in two rounds:
-each text's smallest partner first, then what pairs remain between different components; a large group of
-near copies costs a constant number of verifications for each text. Equal texts are one node from the start.
+A group at a variant is first linked to its smallest and its largest member, which is all pairs of three.
+Verification goes in rounds: each text's smallest partner, then what of these pairs remains between different
+components. Larger groups whose other members are still apart go on (``joined_crowds``): first each text with
+the one partner that met the most texts; then the members that met the most, and those of the smallest
+components, are compared with all others and leave the group, four times as many a round, until a group is
+empty or one component. So every pair of a group is joined, rejected
+or in one component; a large group of near copies costs few verifications for each text, as its centre comes
+first, while a large group of texts that are not near copies costs all its pairs. Equal texts are one node.
 
 Defined cases: null and empty texts and those without words have no shingles and are alike; texts shorter
 than a shingle have one, their whole sequence. Null ids are kept; the smallest id stands for a component, a
@@ -21,16 +26,16 @@ Columns are carried whatever their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm import textvec as tv
 from siftline.llm.graph import components
-from siftline.llm.storage import written
+from siftline.llm.storage import released, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, RECALL = 2, 0.95
@@ -101,27 +106,34 @@ def _nodes(docs: DataFrame, text: str, bits: int, count: int, width: int) -> Dat
     return docs.select(F.xxhash64(F.col(text)).alias("node"), F.col(text).alias("text")).mapInArrow(run, "node long, prints array<long>").dropDuplicates(["node"])
 
 
-def candidate_pairs(nodes: DataFrame, bits: int, count: int, most: int) -> DataFrame:
-    """(lo, hi): pairs that meet in a variant and differ in at most ``most`` bits of all."""
+def _near(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """The pairs (lo, hi) that differ in at most ``most`` bits of all."""
+    low, high = (nodes.select(F.col("node").alias(c), F.col("prints").alias(f"{c}_prints")) for c in ("lo", "hi"))
+    differ = F.aggregate(F.zip_with("lo_prints", "hi_prints", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return written(pairs.join(low.hint("merge"), "lo").join(high.hint("merge"), "hi").where(differ <= most).select("lo", "hi"))
+
+
+def candidate_pairs(nodes: DataFrame, bits: int, count: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (lo, hi) of the smallest or largest text at a variant and another one there, and (z, node): the members between them, if two or more."""
     n, spread = max(1, nodes.count()), int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = nodes.repartition(spread)  # few small files would be few tasks, and each row becomes hundreds
     at_once = max(1, min(count, VARIANTS // (n * (bits + 1))))
-    found = None
+    found = crowds = None
     for first in range(0, count, at_once):
         which = F.array(*[F.lit(k) for k in range(first, min(first + at_once, count))])
         one = nodes.select("node", "prints", F.explode(which).alias("t")).select("node", "t", F.element_at("prints", F.col("t") + 1).alias("v"))
         flip = lambda i: F.col("v").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))
         variants = F.concat(F.array("v"), F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), flip))
         one = one.select("node", "t", F.explode(variants).alias("z")).select("node", F.col("z").bitwiseOR(F.call_function("shiftleft", F.col("t").cast("long"), F.lit(bits))).alias("z"))
-        ends = one.groupBy("z").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
-        met = one.join(ends.hint("merge"), "z").select("node", F.explode(F.array("a", "b")).alias("end")).where("node <> end")
-        pairs = met.select(F.least("node", "end").alias("lo"), F.greatest("node", "end").alias("hi")).distinct()
-        low, high = (nodes.select(F.col("node").alias(c), F.col("prints").alias(f"{c}_prints")) for c in ("lo", "hi"))
-        differ = F.aggregate(F.zip_with("lo_prints", "hi_prints", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        near = pairs.join(low.hint("merge"), "lo").join(high.hint("merge"), "hi").where(differ <= most).select("lo", "hi")
-        near = written(near)
+        ends = one.groupBy("z").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("all")).where("a < b")
+        met = written(one.join(ends.hint("merge"), "z"))
+        ended = met.select("node", F.explode(F.array("a", "b")).alias("end")).where("node <> end")
+        near = _near(ended.select(F.least("node", "end").alias("lo"), F.greatest("node", "end").alias("hi")).distinct(), nodes, most)
+        # groups of the same texts are one: the members' number, ends and hash stand for the variant
+        between = met.where("n > 3 and node <> a and node <> b").select(F.xxhash64("n", "a", "b", "all").alias("z"), "node").distinct()
         found = near if found is None else found.unionAll(near)
-    return found.distinct()
+        crowds = between if crowds is None else crowds.unionAll(between)
+    return found.distinct(), crowds.distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float, width: int) -> DataFrame:
@@ -146,11 +158,45 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float, wi
     return written(both.mapInArrow(run, "lo long, hi long"))
 
 
+def joined_crowds(crowds: DataFrame, nodes: DataFrame, most: int, edges: DataFrame, roots: DataFrame, tried: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) after all pairs within the groups (z, node) are tried whose texts are in different components."""
+    of = lambda crowds: crowds.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = lambda of: of.join(of.groupBy("z").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("z").hint("merge"), "z")
+    left = written(apart(written(of(crowds))))
+    if left.isEmpty():
+        return roots
+    sizes = left.groupBy("z").agg(F.count("*").alias("n"))
+    met = left.join(sizes.hint("merge"), "z").groupBy("node").agg(F.sum("n").alias("met"))
+    left = written(left.select("z", "node", "root").join(met.hint("merge"), "node"))
+    share = 0  # the first round: each text with the one partner that met the most; nobody leaves a group
+    while not left.isEmpty():
+        if not share:
+            first = left.groupBy("z").agg(F.max(F.struct("met", "node", "root")).alias("first"))
+            best = left.join(first.hint("merge"), "z").where("root <> first.root").groupBy("node").agg(F.max("first").alias("first"))
+            pairs = best.select(F.least("node", "first.node").alias("lo"), F.greatest("node", "first.node").alias("hi")).distinct()
+        else:
+            ranked = left.withColumn("size", F.count("*").over(Window.partitionBy("z", "root")))
+            group = Window.partitionBy("z")
+            by_met = F.row_number().over(group.orderBy(F.desc("met"), "node"))
+            by_size = F.row_number().over(group.orderBy("size", F.desc("met"), "node"))
+            pivots = written(ranked.select("z", "node", "root", by_met.alias("i"), by_size.alias("j")).where(F.least("i", "j") <= share).select("z", F.col("node").alias("pivot"), F.col("root").alias("_root")))
+            pairs = left.join(pivots.hint("merge"), "z").where("root <> _root").select(F.least("node", "pivot").alias("lo"), F.greatest("node", "pivot").alias("hi")).distinct()
+            left = left.join(pivots.select("z", F.col("pivot").alias("node")).hint("merge"), ["z", "node"], "left_anti")
+        pairs = _near(pairs.join(tried.hint("merge"), ["lo", "hi"], "left_anti"), nodes, most)
+        if not pairs.isEmpty():
+            edges, tried = edges.unionAll(verify(pairs)), tried.unionAll(pairs)
+            roots = written(components(edges))
+        left, share = written(apart(written(of(left.select("z", "node", "met"))))), max(1, 4 * share)
+        released(left.sparkSession)
+    return roots
+
+
 def similar(docs: DataFrame, *, text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
     """(node, root) of each text that is linked to another: its hash and the smallest hash of its component."""
     bits, count, most = scheme(docs.count(), similarity)
     nodes = written(_nodes(docs, text, bits, count, width))
-    pairs = written(candidate_pairs(nodes, bits, count, most))
+    pairs, crowds = candidate_pairs(nodes, bits, count, most)
+    pairs = written(pairs)
     first = pairs.groupBy("hi").agg(F.min("lo").alias("lo")).select("lo", "hi")
     edges = verified(first, docs, text, similarity, width)
     roots = components(edges)
@@ -159,9 +205,10 @@ def similar(docs: DataFrame, *, text: str = "text", similarity: float = SIMILARI
     for c in ("lo", "hi"):
         rest = rest.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
     rest = written(rest.where(root("lo") != root("hi")).select("lo", "hi"))
-    if rest.isEmpty():
-        return roots
-    return components(edges.unionAll(verified(rest, docs, text, similarity, width)))
+    if not rest.isEmpty():
+        edges = edges.unionAll(verified(rest, docs, text, similarity, width))
+        roots = components(edges)
+    return joined_crowds(crowds, nodes, most, edges, roots, pairs, lambda more: verified(more, docs, text, similarity, width))
 
 
 def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:

@@ -115,3 +115,19 @@ def test_awkward_rows(spark):
     assert len(ids) == len(set(want.values())) and None in ids and ids.count(3) == 1
     assert op.representatives(docs.where(F.lit(False))).count() == 0
     assert op.representatives(docs.where("doc_id = 1")).count() == 1
+
+
+def test_copies_of_one_text_that_are_not_copies_of_each_other(spark):
+    """A star: edits far apart leave each copy at 0.85 to the original and about 0.72 to the other copies."""
+    rng = random.Random(4)
+    words = prose(rng, 304).split()
+    texts = [" ".join(words)]
+    for k in range(300):
+        new = list(words)
+        for at in rng.sample(range(10, 290, 7), 5):
+            new[at] = f"new{k}x{at}"
+        texts.append(" ".join(new))
+    sets = [shingle_set(t) for t in texts]
+    assert all(jaccard(sets[0], s) >= 0.8 for s in sets[1:]) and sum(jaccard(sets[i], sets[i + 1]) < 0.8 for i in range(1, 300)) > 280
+    docs = documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    assert op.representatives(docs).count() <= 3
