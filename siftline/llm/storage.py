@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import gc
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from siftline.sources.staging import shared_dir, written
 
-__all__ = ["bounded_batches", "released", "shared_dir", "written"]
+__all__ = ["bounded_batches", "discard", "released", "shared_dir", "written"]
 
 BATCH_ROWS = 1000
 
@@ -24,3 +24,11 @@ def released(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop what finished steps have left, now and not when the driver happens to collect its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of written tables that nothing will read again."""
+    for table in tables:
+        for file in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
