@@ -23,6 +23,10 @@ its window are cut into ranges, and for the range lo to hi the group's key grows
 400 - (hi - lo) that all such windows share. Ranges shrink from 201 offsets to 21, 3 and 1, where the key
 is the window itself and any two of a group match whole.
 
+The unit of a string is a byte, or a word: then a text is the row of its words' 64-bit hashes, positions are
+multiples of 8 bytes, and what goes is the words of strings of ``width`` / 8 words, each with the blanks behind
+it. ``passages`` counts such strings of ``PASSAGE_WORDS`` words beside the bytes, as columns of the query.
+
 Defined cases: null texts are empty and remove nothing; texts below the width match nowhere; rows with
 equal id and text are documents each on its own and so repeat each other; null ids are carried; empty
 tables give empty results. Texts of any length are taken whole, in overlapping pieces of bounded size.
@@ -44,9 +48,12 @@ from pyspark.sql import types as T
 
 from siftline.llm import textvec as tv
 from siftline.llm.losertree import Run, common_suffix, front_code, merge
-from siftline.llm.storage import released, written
+from siftline.llm.storage import discard, released, written
 
 WIDTH = 400
+#: Words of the strings that the pipeline's stage removes: passages of over 50 words.
+PASSAGE_WORDS = 51
+WORD = 8
 HOT = 30_000
 #: Suffixes to a merge task, and bytes of suffixes held while a run is made.
 GROUP_ROWS, RUN_BYTES = 20_000, 24 << 20
@@ -68,9 +75,14 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def _least(hashes: np.ndarray, width: int) -> np.ndarray:
-    """The place of the anchor of the window that starts at each byte."""
-    return (_sliding_min((hashes & ~_INDEX) | np.arange(len(hashes), dtype=np.uint64), width - width // 2 + 1) & _INDEX).astype(np.int64)
+def _key(width: int, unit: int) -> int:
+    """Bytes of an anchor: about half the width."""
+    return max(unit, width // 2 // unit * unit)
+
+
+def _least(hashes: np.ndarray, places: int) -> np.ndarray:
+    """The place of the anchor among so many hashes from each one on."""
+    return (_sliding_min((hashes & ~_INDEX) | np.arange(len(hashes), dtype=np.uint64), places) & _INDEX).astype(np.int64)
 
 
 def _windows_inside(offsets: np.ndarray, width: int, n: int, first: int, last: int) -> np.ndarray:
@@ -94,36 +106,38 @@ def contexts(prefix: tv.Prefix, at: np.ndarray, begin: np.ndarray, end: np.ndarr
     return tv.combine(prefix.hashes(a, b), (at - a).astype(np.uint64))
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, first: int = 0, last: int = 1 << 62) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, first: int = 0, last: int = 1 << 62, unit: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(positions, hashes, contexts, covered) of the windows within a text of the block that start from first to before last.
 
     covered: (start, stop) rows of what repeats within one text that is dense in anchors.
     """
-    prefix, k = tv.Prefix(data), width // 2
-    hashes = prefix.windows(k)
+    prefix, k = tv.Prefix(data), _key(width, unit)
+    hashes = prefix.windows(k)[::unit]
     none = np.empty((0, 2), dtype=np.int64)
-    least = _least(hashes, width)
+    least = _least(hashes, (width - k) // unit + 1)
     if not len(least):
         return np.empty(0, np.int64), hashes[:0], hashes[:0], none
-    inside = _windows_inside(offsets, width, len(least), first, last)
+    inside = _windows_inside(offsets // unit, width // unit, len(least), first // unit, last // unit)
     at = _runs_of(least[inside])
-    count, room = np.diff(np.searchsorted(at, offsets)), np.diff(offsets)
-    dense = np.flatnonzero(count * width > 10 * room + 20 * width)
+    count, room = np.diff(np.searchsorted(at * unit, offsets)), np.diff(offsets) // unit
+    dense = np.flatnonzero(count * (width // unit) > 10 * room + 20 * (width // unit))
     covered = [none]
     if len(dense):
-        whole = prefix.windows(width)
+        whole = prefix.windows(width)[::unit]
         for row in dense:
-            mine = np.flatnonzero(inside[offsets[row] : offsets[row + 1]]) + offsets[row]
+            begin = offsets[row] // unit
+            mine = np.flatnonzero(inside[begin : offsets[row + 1] // unit]) + begin
             _, earliest, of, n = np.unique(whole[mine], return_index=True, return_inverse=True, return_counts=True)
             twice = mine[n[of] > 1]
             if len(twice):
                 cuts = np.flatnonzero(np.diff(twice) > 1)
-                covered.append(np.stack([twice[np.append(0, cuts + 1)], twice[np.append(cuts, len(twice) - 1)] + width], axis=1))
+                covered.append(np.stack([twice[np.append(0, cuts + 1)] * unit, twice[np.append(cuts, len(twice) - 1)] * unit + width], axis=1))
             inside[mine] = False
             inside[mine[earliest]] = True
         at = np.unique(least[inside])
+    hashes, at = hashes[at], at * unit
     row = np.searchsorted(offsets, at, side="right") - 1
-    return at, hashes[at], contexts(prefix, at, offsets[row], offsets[row + 1], width, k), np.concatenate(covered)
+    return at, hashes, contexts(prefix, at, offsets[row], offsets[row + 1], width, k), np.concatenate(covered)
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int, int]]:
@@ -139,11 +153,27 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple
             yield row, begin, part, np.array([0, len(part)]), at - begin, at - begin + PIECE
 
 
-def _tagged(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.xxhash64(F.col(key), F.col(text)).alias("tag"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+def word_codes(column: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
+    """(first row, last row + 1, codes) for each block: the texts as rows of their words' hashes, 8 bytes each."""
+    for a, b, data, offsets in tv.each_block(column):
+        starts, ends, bounds = tv.word_spans(data, offsets)
+        codes = tv.Prefix(data).hashes(starts, ends).astype("<u8")
+        yield a, b, pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((bounds * WORD).astype(np.int32).tobytes()), pa.py_buffer(codes.tobytes())])
+
+
+def _tagged(docs: DataFrame, key: str, text: str, unit: int) -> DataFrame:
+    """(tag, text): a hash of id and text, and the bytes that strings are made of."""
+    tagged = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("tag"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, codes in word_codes(batch.column(1)):
+                yield pa.record_batch([batch.column(0).slice(a, b - a), codes], names=["tag", "text"])
+
+    return tagged if unit == 1 else tagged.mapInArrow(run, "tag long, text binary")
 
 
-def _all_anchors(tagged: DataFrame, width: int) -> DataFrame:
+def _all_anchors(tagged: DataFrame, width: int, unit: int) -> DataFrame:
     """(tag, pos, k, h, ctx, stop): anchors, with null stop, and spans from pos to stop that are covered already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,19 +181,19 @@ def _all_anchors(tagged: DataFrame, width: int) -> DataFrame:
             tags = batch.column(0).to_numpy(zero_copy_only=False)
             for a, _, data, offsets in tv.each_block(batch.column(1)):
                 for row, shift, part, bounds, first, last in _pieces(data, offsets, width):
-                    at, hashes, context, covered = anchors(part, bounds, width, first, last)
+                    at, hashes, context, covered = anchors(part, bounds, width, first, last, unit)
                     both = np.concatenate([at, covered[:, 0]])
                     of = np.searchsorted(bounds, both, side="right") - 1
                     pos = both - bounds[of] + shift
                     zero = np.zeros(len(covered), dtype=np.int64)
                     stop = np.concatenate([np.zeros(len(at), np.int64), pos[len(at) :] + covered[:, 1] - covered[:, 0]])
-                    columns = [pa.array(tags[a + row + of]), pa.array(pos.astype(np.int32)), pa.array(np.full(len(both), width // 2, np.int32)), pa.array(np.concatenate([hashes.view(np.int64), zero])), pa.array(np.concatenate([context.view(np.int64), zero])), pa.array(stop.astype(np.int32), mask=stop == 0)]
+                    columns = [pa.array(tags[a + row + of]), pa.array(pos.astype(np.int32)), pa.array(np.full(len(both), _key(width, unit), np.int32)), pa.array(np.concatenate([hashes.view(np.int64), zero])), pa.array(np.concatenate([context.view(np.int64), zero])), pa.array(stop.astype(np.int32), mask=stop == 0)]
                     yield pa.record_batch(columns, names=["tag", "pos", "k", "h", "ctx", "stop"])
 
     return tagged.mapInArrow(run, "tag long, pos int, k int, h long, ctx long, stop int")
 
 
-def _finer(cands: DataFrame, tagged: DataFrame, width: int, span: int) -> DataFrame:
+def _finer(cands: DataFrame, tagged: DataFrame, width: int, span: int, unit: int) -> DataFrame:
     """(tag, pos, k, h, ctx): each hot suffix (pos, k) cut into keys that leave ``span`` offsets each."""
     listed = cands.groupBy("tag").agg(F.collect_set(F.struct("pos", "k")).alias("at"))
     joined = tagged.hint("merge").join(listed, "tag").select("tag", "text", "at")
@@ -174,8 +204,8 @@ def _finer(cands: DataFrame, tagged: DataFrame, width: int, span: int) -> DataFr
                 data = np.frombuffer(batch.column(1)[row].as_buffer(), np.uint8)
                 prefix, out = tv.Prefix(data), set()
                 for at in batch.column(2)[row].as_py():
-                    for lo in range(0, width - at["k"] + 1, span):
-                        k = width - min(span - 1, width - at["k"] - lo)
+                    for lo in range(0, width - at["k"] + 1, span * unit):
+                        k = width - min((span - 1) * unit, width - at["k"] - lo)
                         start = at["pos"] - lo
                         if start >= 0 and start + k <= len(data):
                             out.add((start, k))
@@ -188,7 +218,7 @@ def _finer(cands: DataFrame, tagged: DataFrame, width: int, span: int) -> DataFr
     return joined.mapInArrow(run, "tag long, pos int, k int, h long, ctx long")
 
 
-def candidates(tagged: DataFrame, width: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def candidates(tagged: DataFrame, width: int, hot: int, unit: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(places, suffixes, covered).
 
     places (tag, pos, k, h, ctx): where the first k bytes may begin another suffix. suffixes (k, h, ctx, m,
@@ -196,14 +226,15 @@ def candidates(tagged: DataFrame, width: int, hot: int) -> tuple[DataFrame, Data
     k = width. covered (tag, pos, stop): spans that need no more search.
     """
     spark = tagged.sparkSession
-    found = written(_all_anchors(tagged, width))
-    covered = found.where("stop is not null").select("tag", "pos", "stop")
-    level = found.where("stop is null").drop("stop")
-    spans = [s for s in (21, 3) if s <= width // 2] + [1]
+    found = written(_all_anchors(tagged, width, unit))
+    covered = written(found.where("stop is not null").select("tag", "pos", "stop"))
+    level, above = found.where("stop is null").drop("stop"), found
+    spans = [s for s in (21, 3) if s * unit <= width // 2] + [1]
     places, suffixes = [], []
     while True:
         twice = written(level.groupBy("k", "h").agg(F.count("*").alias("n")).where("n > 1").select("k", "h"))
         kept = written(level.join(twice.hint("merge"), ["k", "h"]))
+        discard(above, twice)
         released(spark)
         different = written(kept.groupBy("k", "h", "ctx").agg(F.count("*").alias("m"), F.min(F.struct("tag", "pos")).alias("one")).select("k", "h", "ctx", "m", "one.tag", "one.pos"))
         large = written(different.groupBy("k", "h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("k", "h")) if spans else None
@@ -214,7 +245,7 @@ def candidates(tagged: DataFrame, width: int, hot: int) -> tuple[DataFrame, Data
             break
         places.append(kept.join(large.hint("merge"), ["k", "h"], "left_anti"))
         suffixes.append(different.join(large.hint("merge"), ["k", "h"], "left_anti"))
-        level = written(_finer(kept.join(large.hint("merge"), ["k", "h"], "left_semi"), tagged, width, spans.pop(0)))
+        level = above = written(_finer(kept.join(large.hint("merge"), ["k", "h"], "left_semi"), tagged, width, spans.pop(0), unit))
     return reduce(DataFrame.unionByName, places), reduce(DataFrame.unionByName, suffixes), covered
 
 
@@ -253,7 +284,7 @@ def _runs(suffixes: DataFrame, tagged: DataFrame, width: int, n_buckets: int) ->
     return joined.mapInArrow(run, RUN_SCHEMA)
 
 
-def reach(strings: list[bytes], shared: list[int], lefts: list[bytes], counts: list[int], width: int) -> list[tuple[int, int]]:
+def reach(strings: list[bytes], shared: list[int], lefts: list[bytes], counts: list[int], width: int, unit: int = 1) -> list[tuple[int, int]]:
     """How far left and right each suffix of a group is covered by matches of ``width`` bytes or more; (0, 0) if by none.
 
     strings are sorted and distinct together with their lefts, shared[i] is the common prefix of i - 1 and i.
@@ -279,7 +310,7 @@ def reach(strings: list[bytes], shared: list[int], lefts: list[bytes], counts: l
         return i
 
     for i in sorted(range(1, n), key=lambda i: -shared[i]):
-        a, b, r = find(i - 1), find(i), shared[i]
+        a, b, r = find(i - 1), find(i), shared[i] // unit * unit
         if len(sets[a]) < len(sets[b]):
             a, b = b, a
         large = sets[a]
@@ -287,7 +318,7 @@ def reach(strings: list[bytes], shared: list[int], lefts: list[bytes], counts: l
             at, x = bisect_left(large, s), by_left[s]
             for near in large[max(0, at - 1) : at + 1]:
                 y = by_left[near]
-                common = common_suffix(lefts[x], lefts[y])
+                common = common_suffix(lefts[x], lefts[y]) // unit * unit
                 if common + r >= width:
                     for z in (x, y):
                         if common > left[z]:
@@ -304,7 +335,7 @@ def reach(strings: list[bytes], shared: list[int], lefts: list[bytes], counts: l
     return list(zip(left, right, strict=True))
 
 
-def _reached(runs: DataFrame, width: int) -> DataFrame:
+def _reached(runs: DataFrame, width: int, unit: int) -> DataFrame:
     """(k, h, ctx, l, r): how far each suffix that is covered at all is covered to its left and right."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -327,7 +358,7 @@ def _reached(runs: DataFrame, width: int) -> DataFrame:
                     low = width + 1
             if len(found) == 1 and of[0] == 1:
                 return
-            reached = reach([x[0] for x in found], [x[1] for x in found], [x[2] for x in found], of, width)
+            reached = reach([x[0] for x in found], [x[1] for x in found], [x[2] for x in found], of, width, unit)
             for (_, _, _, h, ctx), (l, r) in zip(found, reached, strict=True):
                 if r:
                     for column, value in zip(out, (h, ctx, l, r), strict=True):
@@ -346,15 +377,19 @@ def _reached(runs: DataFrame, width: int) -> DataFrame:
     return runs.groupBy("k", "bucket").applyInArrow(run, "k int, h long, ctx long, l int, r int")
 
 
-def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, hot: int = HOT) -> DataFrame:
-    """(tag, spans): for each row's tag, a hash of id and text, the byte ranges that repeat elsewhere; they may overlap."""
-    tagged = _tagged(docs, key, text)
-    places, suffixes, covered = candidates(tagged, width, hot)
+def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, hot: int = HOT, unit: int = 1) -> DataFrame:
+    """(tag, spans): for each row's tag, a hash of id and text, the ranges that repeat elsewhere; they may overlap.
+
+    width and ranges are in bytes, with unit ``WORD`` in words of 8 bytes.
+    """
+    tagged = _tagged(docs, key, text, unit)
+    places, suffixes, covered = candidates(tagged, width, hot, unit)
     n_buckets = max(8, suffixes.count() // GROUP_ROWS)
-    reached = written(_reached(_runs(suffixes, tagged, width, n_buckets), width))
+    reached = written(_reached(_runs(suffixes, tagged, width, n_buckets), width, unit))
     released(docs.sparkSession)
     spans = places.join(reached.hint("merge"), ["k", "h", "ctx"]).select("tag", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("stop"))
-    spans = spans.unionAll(covered)
+    spans = written(spans.unionAll(covered).distinct())
+    discard(places, suffixes, reached, covered)
     return spans.groupBy("tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
@@ -374,11 +409,22 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, n
 
 
-def _cut_rows(docs: DataFrame, extra: str, make, *, key: str, text: str, width: int, hot: int) -> DataFrame:
-    """docs with one more struct column, _made, of what make gives of each row's (bytes, spans)."""
-    spans = repeated_spans(docs, key=key, text=text, width=width, hot=hot)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(F.col(key), F.col(text)).alias("tag"), F.col(text).cast("binary").alias("_text"))
-    joined = row.hint("merge").join(spans, "tag", "left").select("_row", "_text", "spans")
+def word_cuts(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of words (8 to a word) as bytes of the text: from a first word to the word after the last one."""
+    if not spans:
+        return []
+    data = np.frombuffer(raw, np.uint8)
+    starts, _, _ = tv.word_spans(data, np.array([0, len(data)]))
+    edges = np.append(starts, len(data))
+    return [(int(edges[a // WORD]), int(edges[b // WORD])) for a, b in spans]
+
+
+def _cut_rows(docs: DataFrame, extra: str, make, spans: list[DataFrame], *, key: str, text: str) -> DataFrame:
+    """docs with one more struct column, _made, of what make gives of each row's bytes and its spans in each of the tables."""
+    slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(F.col(key), F.col(text)).alias("tag"), F.col(text).cast("binary").alias("_text"))
+    found = [s.withColumnRenamed("spans", f"_{k}") for k, s in enumerate(spans)]
+    found = found[0] if len(found) == 1 else found[0].hint("merge").join(found[1], "tag", "full")
+    joined = slim.hint("merge").join(found, "tag", "left").drop("tag")
     schema = T.StructType([T.StructField("_row", joined.schema["_row"].dataType), T.StructField("_made", T._parse_datatype_string(extra))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,8 +433,8 @@ def _cut_rows(docs: DataFrame, extra: str, make, *, key: str, text: str, width:
             for a, b in tv.blocks(offsets, 4 * tv.BLOCK):
                 made = []
                 for at in range(a, b):
-                    raw, spans_of = batch.column(1)[at].as_py(), batch.column(2)[at].as_py()
-                    made.append(make(raw, [(s["start"], s["stop"]) for s in spans_of or ()]))
+                    own = [[(s["start"], s["stop"]) for s in batch.column(c)[at].as_py() or ()] for c in range(2, batch.num_columns)]
+                    made.append(make(batch.column(1)[at].as_py(), *own))
                 names = list(made[0])
                 columns = [pa.array([m[c] for m in made]) for c in names]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.StructArray.from_arrays(columns, names)], names=["_row", "_made"])
@@ -396,33 +442,53 @@ def _cut_rows(docs: DataFrame, extra: str, make, *, key: str, text: str, width:
     return joined.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, hot: int = HOT) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
+def digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, hot: int = HOT, passages: int | None = None) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) for each row.
 
-    def make(raw: bytes | None, spans: list) -> dict:
+    passages: also n_passage_words and n_passages, the words in strings of so many words that start anywhere
+    else, and their maximal runs; they take no part in the others.
+    """
+
+    def make(raw: bytes | None, spans: list, words: list | None = None) -> dict:
         kept, removed, n = cut(raw or b"", spans)
-        return {"n_bytes": len(raw or b""), "n_removed": removed, "n_spans": n, "kept_sha256": hashlib.sha256(kept).hexdigest()}
+        own = {"n_bytes": len(raw or b""), "n_removed": removed, "n_spans": n, "kept_sha256": hashlib.sha256(kept).hexdigest()}
+        if words is None:
+            return own
+        runs, covered, stop = 0, 0, -1
+        for a, b in sorted(words):
+            runs += a > stop
+            covered += max(0, b - max(a, stop))
+            stop = max(stop, b)
+        return own | {"n_passage_words": covered // WORD, "n_passages": runs}
 
     slim = docs.select(key, text)
-    out = _cut_rows(slim, "struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string>", make, key=key, text=text, width=width, hot=hot)
-    return out.select(F.col(f"_row.`{key}`").alias(key), "_made.*")
+    fields = "n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string" + ",n_passage_words:long,n_passages:long" * bool(passages)
+    spans = [repeated_spans(slim, key=key, text=text, width=width, hot=hot)]
+    if passages:
+        spans.append(repeated_spans(slim, key=key, text=text, width=passages * WORD, hot=hot, unit=WORD))
+    return _cut_rows(slim, f"struct<{fields}>", make, spans, key=key, text=text).select(F.col(f"_row.`{key}`").alias(key), "_made.*")
 
 
-def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, hot: int = HOT) -> DataFrame:
-    """docs with the repeated bytes cut out of the text (and with them what is left of a character cut in two); null stays null."""
+def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, hot: int = HOT, words: int | None = None) -> DataFrame:
+    """docs with the repeated bytes cut out of the text (and with them what is left of a character cut in two); null stays null.
+
+    words: strings of so many words are cut instead of ``width`` bytes.
+    """
 
     def make(raw: bytes | None, spans: list) -> dict:
+        spans = word_cuts(raw or b"", spans) if words else spans
         return {"text": None if raw is None else cut(raw, spans)[0].decode("utf-8", "ignore") if spans else raw.decode("utf-8", "replace")}
 
-    out = _cut_rows(docs, "struct<text:string>", make, key=key, text=text, width=width, hot=hot)
+    spans = repeated_spans(docs.select(key, text), key=key, text=text, width=words * WORD if words else width, hot=hot, unit=WORD if words else 1)
+    out = _cut_rows(docs, "struct<text:string>", make, [spans], key=key, text=text)
     return out.select(*[F.col("_made.text").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
-def shortened(docs: DataFrame, *, size: str = "n_chars") -> DataFrame:
-    """docs of the pipeline, deduplicated, with the column of their length counted anew."""
-    out = deduplicated(docs)
+def shortened(docs: DataFrame, *, size: str = "n_chars", words: int = PASSAGE_WORDS) -> DataFrame:
+    """docs of the pipeline without strings of so many words that repeat, and with the column of their length counted anew."""
+    out = deduplicated(docs, words=words)
     return out.withColumn(size, F.length("text").cast(docs.schema[size].dataType)) if size in docs.columns else out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), passages=PASSAGE_WORDS)

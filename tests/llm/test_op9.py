@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -110,21 +111,70 @@ def test_like_brute_force(spark, hot):
     assert sum(w[2] > 0 for w in want) > 20
 
 
+def word_runs(texts, n):
+    """Each text's word spans, and which words lie in strings of n words that start anywhere else."""
+    words = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    raw = [(t or "").encode() for t in texts]
+    strings = [[tuple(r[a:b] for a, b in w[i : i + n]) for i in range(len(w) - n + 1)] for r, w in zip(raw, words, strict=True)]
+    seen = Counter(s for own in strings for s in own)
+    marks = []
+    for w, own in zip(words, strings, strict=True):
+        mark = [False] * len(w)
+        for i, s in enumerate(own):
+            if seen[s] > 1:
+                mark[i : i + n] = [True] * n
+        marks.append(mark)
+    return raw, words, marks
+
+
+def passages():
+    """Passages of 49 to 54 short words, below 400 bytes, in other texts; and what samples() has."""
+    rng = random.Random(8)
+    texts = samples(6)
+    for n in (49, 50, 51, 52, 54):
+        passage = " ".join(f"{rng.choice('abcdé')}{rng.randrange(99)}" for _ in range(n))
+        texts += [f"{prose(rng, rng.randrange(0, 9))}\n{passage}\t {prose(rng, 5)}" for _ in range(3)]
+    return texts + ["ja " * 51 + "nein", "ja " * 50 + "doch", "ja " * 200]
+
+
+@pytest.mark.parametrize("hot", [op.HOT, 3])
+def test_passages_like_brute_force(spark, hot):
+    texts = passages()
+    data = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(None, texts[0], "en", "s", 1), (2, texts[2], "en", "s", 1)]
+    _, _, marks = word_runs([r[1] for r in data], 51)
+    want = sorted((str(r[0]), *b, sum(m), sum(x and (not i or not m[i - 1]) for i, x in enumerate(m))) for r, b, m in zip(data, brute([r[1] for r in data], 400), marks, strict=True))
+    got = op.digests(clashing(documents(spark, data)), hot=hot, passages=51)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words, r.n_passages) for r in got.collect()) == want
+    assert any(w[5] and not w[2] for w in want)
+
+
 def test_stage_and_empty_tables(spark):
-    texts = samples(5)
+    texts = passages()
     docs = documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
     out = op.shortened(docs)
     assert out.columns == docs.columns
     by = {r.doc_id: r for r in out.collect()}
-    for i, (t, b) in enumerate(zip(texts, brute(texts, 400), strict=True)):
-        kept = by[i].text
-        assert (kept is None) == (t is None) and (b[1] or kept == t) and (kept is None or by[i].n_chars == len(kept))
-        assert not b[1] or b[0] - b[1] - 3 <= len(kept.encode()) <= b[0] - b[1]
+    for i, (raw, words, mark) in enumerate(zip(*word_runs(texts, 51), strict=True)):
+        edges = [a for a, _ in words] + [len(raw)]
+        kept = raw[: edges[0]] + b"".join(raw[edges[k] : edges[k + 1]] for k, m in enumerate(mark) if not m)
+        assert by[i].text == (None if texts[i] is None else kept.decode())
+        assert by[i].text is None or by[i].n_chars == len(by[i].text)
+    assert sum(any(m) for m in word_runs(texts, 51)[2]) > 20
     none = docs.where(F.lit(False))
-    assert op.digests(none).count() == 0 and op.shortened(none).count() == 0
+    assert op.digests(none, passages=51).count() == 0 and op.shortened(none).count() == 0
+
+
+def test_bytes_cut_from_texts(spark):
+    texts = samples(5)
+    docs = documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    by = {r.doc_id: r.text for r in op.deduplicated(docs).collect()}
+    for i, (t, b) in enumerate(zip(texts, brute(texts, 400), strict=True)):
+        assert (by[i] is None) == (t is None) and (b[1] or by[i] == t)
+        assert not b[1] or b[0] - b[1] - 3 <= len(by[i].encode()) <= b[0] - b[1]
 
 
 def test_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
-    want = {(r.doc_id, *b) for r, b in zip(docs, brute([r.text for r in docs], 400), strict=True)}
-    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op.query(spark, sf).collect()} == want
+    texts = [r.text for r in docs]
+    want = {(r.doc_id, *b, sum(m)) for r, b, m in zip(docs, brute(texts, 400), word_runs(texts, 51)[2], strict=True)}
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words) for r in op.query(spark, sf).collect()} == want
