@@ -11,7 +11,8 @@ meet with probability ``RECALL`` (more similar pairs meet with more).
 A group at a variant is never spelt out as pairs: its first text leads, those whose signatures are near to
 the leader's are linked to it and leave, and the rest go on until all are linked or lead. This is done in
 each task before the shuffle, so that a group of any size sends on its leaders only, and after it over a
-sorted stream. Linked texts form clusters. Within a cluster all pairs are then compared exactly, by products of
+sorted stream. What the first fingerprint has linked goes on under one name, so that the members of a large group are
+not linked again by each of the others. Linked texts form clusters. Within a cluster all pairs are then compared exactly, by products of
 0/1 matrices of shingles; only the components come out. So a text that meets its original at a variant is found
 whatever else met there. Clusters over ``MEMBERS`` texts or ``WEIGHT`` shingles are first compared with their
 most central text; those that it does not join are compared with all, block by block. A cluster of copies of
@@ -46,7 +47,7 @@ SIGNATURE, SIGMAS = 128, 4
 #: Variants to a shuffle; more fingerprints are dealt with one after the other, so that disk is bounded.
 VARIANTS = 12_000_000
 #: Variants that a task links before the shuffle at a time, and links told apart in memory after it.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Rows that may be broadcast; more are shuffled.
 BROADCAST_ROWS = 1 << 20
 #: Texts and shingles of a cluster that are compared at once, and shingles that one product takes.
@@ -218,8 +219,12 @@ def clusters(nodes: DataFrame, n: int, bits: int, count: int, most: int) -> Data
     spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = nodes.repartition(spread)  # few small files would be few tasks, and each row becomes hundreds
     at_once = max(1, min(count, VARIANTS // (max(n, 1) * (bits + 1))))
-    met = [written(_met(nodes, range(t, min(t + at_once, count)), bits, most).distinct()) for t in range(0, count, at_once)]
-    return components(reduce(DataFrame.unionAll, met)).select("node", F.col("root").alias("cluster"))
+    first = written(components(written(_met(nodes, range(1), bits, most).distinct())))
+    named = nodes.join(first.hint("merge"), "node", "left").select(F.coalesce("root", "node").alias("node"), "prints", "s1", "s2")
+    named = written(named.repartition(spread))
+    met = [written(_met(named, range(t, min(t + at_once, count)), bits, most).distinct()) for t in range(1, count, at_once)]
+    discard(named)
+    return components(reduce(DataFrame.unionAll, met, first.toDF("lo", "hi"))).select("node", F.col("root").alias("cluster"))
 
 
 def within(rows: DataFrame, small: DataFrame, n_small: int, on: str, how: str = "inner") -> DataFrame:
