@@ -1,14 +1,19 @@
 """Toxicity: a logistic classifier on hashed words and word prefixes, regularised by counterfactuals.
 
-Each training text's sentences that name a group are written again with another group's term (and, so that
-every weight of a term is seen, templates carry each term in turn); the squared difference of the two
-scores is penalised. What a term adds to a score is thereby driven to 0, and neutral mentions of a group
-are not taken for toxicity. Only features significantly more frequent in toxic texts are learned from, and
-their weights are 0 or more, so a long or odd text gathers no score from words that tell nothing. The
-weights are fitted by accelerated proximal gradient steps; the model is ``N_FEATURES`` + 1 floats.
-
-Training rows are a bounded sample: at most ``MAX_TRAIN`` labelled texts, those with the least hash of id.
-Features are taken on the executors; the driver gets each sampled text's distinct feature numbers.
+Sentences of the training texts that hold an identity term are written again with another term of its set, and
+every term is set beside the others and a neutral word; the squared difference of the two scores is penalised.
+What a term adds to a score is thereby driven to 0, and neutral mentions are not taken for toxicity. Sets of
+terms are given (``IDENTITY_TERMS``) and learned: ``stand_ins`` are words that share the beginning of telling words
+without being more frequent in toxic texts themselves, so a classifier blames them by their company. Only features
+significantly more frequent in toxic texts are learned from, and their weights are 0 or more, so a long or odd text
+gathers no score from words that tell nothing. The weights are fitted by accelerated proximal gradient steps; the
+model is ``N_FEATURES`` + 1 floats.
+
+What is learned from is a bounded sample, by parameters: at most ``MAX_TRAIN`` labelled texts, those with the least
+hash of id (one text for an id, that of the least hash); of them at most ``MAX_TERMS`` learned terms, the most
+frequent, and ``MAX_SENTENCES`` sentences, those with the least hash. A sentence is the ``WINDOW`` words on either
+side of its term, wherever it stands in the text. Features are taken on the executors; the driver gets each
+sampled text's distinct feature numbers. Every text is scored whole.
 
 Defined cases: null or empty texts have no feature and the score of the intercept. Labels that are null are
 not learned from; of several labels of an id the largest counts. Rows with a null id are held in, cannot be
@@ -18,6 +23,7 @@ are 0. Ties in the sample are broken by text hash. Other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +33,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import textvec as tv
+from siftline.llm.storage import written
 
 N_FEATURES = 1 << 18
 #: Word prefixes taken beside the word, in bytes.
 PREFIXES = (4, 5, 6)
 MAX_TRAIN = 16_384
-MAX_PAIRS = 4096
+#: Learned terms, texts that each must be in, sentences that are swapped, swaps of each, and words on either side of its term.
+MAX_TERMS, MIN_TEXTS, MAX_SENTENCES, SWAPS, WINDOW = 64, 8, 4096, 3, 10
+#: The word that terms are set beside.
+NEUTRAL = "people"
 THRESHOLD = 0.3
 ROUNDS, L1, L2, COUNTERFACTUAL = 2000, 1e-5, 1e-5, 1.0
 #: Least chi-squared statistic of a feature that is learned from: by chance, few of N_FEATURES reach it.
@@ -74,20 +84,47 @@ def text_features(text: str, n_features: int = N_FEATURES) -> np.ndarray:
     return features(raw, np.array([0, len(raw)]), n_features)[0]
 
 
-def counterfactuals(sentences: list[str], terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, limit: int = MAX_PAIRS) -> list[tuple[str, str]]:
-    """Pairs of a sentence and its like with a group's term swapped, in turn, for the others of its set; then templates for all terms."""
+def mentions(data: np.ndarray, offsets: np.ndarray, telling: np.ndarray, names: np.ndarray, n_features: int = N_FEATURES) -> list[tuple[int, str, str]]:
+    """(row, word, the words around it), each word once a text: words in names, and those with a telling prefix that tell nothing as a whole.
+
+    telling and names are sorted: feature numbers and hashes of words.
+    """
+    low = tv.LOWER[data]
+    spaced = np.where(_EDGE[low], np.uint8(0x20), low)
+    starts, ends, bounds = tv.word_spans(spaced, offsets)
+    prefix, rows = tv.Prefix(spaced), tv.owner(bounds)
+    whole = prefix.hashes(starts, ends)
+    by_prefix = np.zeros(len(whole), bool)
+    for n in PREFIXES:
+        long = np.flatnonzero(ends - starts >= n)
+        by_prefix[long] |= np.isin(tv.mix(prefix.hashes(starts[long], starts[long] + n) + np.uint64(n)) % np.uint64(n_features), telling)
+    at = np.flatnonzero(np.isin(whole, names) | by_prefix & ~np.isin(whole % np.uint64(n_features), telling))
+    _, first = np.unique(np.stack([rows[at].astype(np.uint64), whole[at]]), axis=1, return_index=True)
+    out, raw = [], spaced.tobytes()
+    for k in at[np.sort(first)].tolist():
+        row = int(rows[k])
+        a, b = max(k - WINDOW, bounds[row]), min(k + WINDOW, bounds[row + 1] - 1)
+        out.append((row, raw[starts[k] : ends[k]].decode("utf-8", "replace"), raw[starts[a] : ends[b]].decode("utf-8", "replace")))
+    return out
+
+
+def counterfactuals(found: list[tuple[str, str]], terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, swaps: int = SWAPS) -> list[tuple[str, str]]:
+    """Pairs of a sentence and its like with its term swapped, from (term, sentence); then each term beside the others of its set and a neutral word.
+
+    A term is swapped for some of its set, from a place that the sentence's own hash gives.
+    """
     pairs = []
     where = {t: group for group in terms for t in group}
-    for sentence in sentences:
+    for term, sentence in found:
         words = sentence.split()
-        for at, word in enumerate(words):
-            bare = word.strip(".,;:!?\"'()").lower()
-            for other in where.get(bare, ()):
-                if other != bare and len(pairs) < limit:
-                    pairs.append((sentence, " ".join([*words[:at], other, *words[at + 1 :]])))
+        others = [t for t in where.get(term, ()) if t != term]
+        if term in words and others:
+            first = zlib.crc32(sentence.encode())
+            for k in range(min(swaps, len(others))):
+                pairs.append((" ".join(words), " ".join(others[(first + k) % len(others)] if w == term else w for w in words)))
     for group in terms:
-        pairs += [(f"{a}", f"{b}") for a in group for b in group if a < b]
-        pairs += [(f"{a}", "people") for a in group]
+        pairs += [(a, b) for a in group for b in group if a < b]
+        pairs += [(a, NEUTRAL) for a in group]
     return pairs
 
 
@@ -180,13 +217,42 @@ def score_block(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> n
     return sigmoid(np.bincount(row, weights=weights[at], minlength=len(offsets) - 1) + weights[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = MAX_TRAIN, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> np.ndarray:
-    """Weights learned from the rows of labels with a text. The caller leaves held-out rows out of labels."""
-    known = labels.where(f"{key} is not null and {label} is not null").groupBy(key).agg(F.max(label).cast("int").alias("_label"))
-    # the sample by hash of id: ids only until it is known, then its few texts
+def sampled(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, max_train: int) -> DataFrame:
+    """(text, label, place): at most max_train rows, written."""
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
+    # the sample by hash of id: ids only until it is known, then one text of each
     chosen = known.orderBy(F.xxhash64(key), key).limit(max_train)
-    sample = docs.select(key, text).join(F.broadcast(chosen), key).select(F.col(text).alias("text"), "_label", F.xxhash64(key, text).alias("_order"))
-    names = {t for group in terms for t in group}
+    rows = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(chosen), key).withColumn("_order", F.xxhash64(key, "_text"))
+    one = rows.groupBy(key).agg(F.min_by(F.struct("_text", "_label"), "_order").alias("_one"), F.min("_order").alias("place"))
+    return written(one.select(F.col("_one._text").alias("text"), F.col("_one._label").alias("label"), "place"))
+
+
+def stand_ins(sample: DataFrame, used: np.ndarray, n: int, n1: int, terms: tuple[tuple[str, ...], ...]) -> tuple[tuple[tuple[str, ...], ...], list[tuple[str, str]]]:
+    """The sets of terms with the learned one, and (term, sentence) of the sample's sentences that hold a term."""
+    given = {t for group in terms for t in group}
+    names = np.sort(np.array([tv.Prefix(raw).hashes(np.array([0]), np.array([len(raw)]))[0] for raw in (np.frombuffer(t.encode(), np.uint8) for t in given)], np.uint64))
+    telling = np.sort(used).astype(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = batch.column(1).to_pylist()
+            for a, _, data, offsets in tv.each_block(batch.column(0)):
+                found = mentions(data, offsets, telling, names)
+                yield pa.record_batch([pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.string()), pa.array([labels[a + f[0]] for f in found], pa.int32())], names=["word", "sentence", "label"])
+
+    spoken = written(sample.select("text", "label").mapInArrow(run, "word string, sentence string, label int"))
+    counts = spoken.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("n1"))
+    neutral = counts.where((F.col("n") >= MIN_TEXTS) & (F.col("n1") * n <= F.col("n") * n1) & ~F.col("word").isin(list(given)))
+    learned = tuple(sorted(r.word for r in neutral.orderBy(F.desc("n"), "word").limit(MAX_TERMS).collect()))
+    terms = (*terms, learned) if learned else terms
+    said = spoken.where(F.col("word").isin([t for group in terms for t in group])).select("word", "sentence").distinct()
+    said = said.orderBy(F.xxhash64("sentence", "word"), "sentence", "word").limit(MAX_SENTENCES).collect()
+    return terms, sorted((r.word, r.sentence) for r in said)
+
+
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = MAX_TRAIN, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, counterfactual: float = COUNTERFACTUAL) -> np.ndarray:
+    """Weights learned from the rows of labels with a text. The caller leaves held-out rows out of labels."""
+    sample = sampled(docs, labels, key=key, text=text, label=label, max_train=max_train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,21 +260,20 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
                 at, row = features(data, offsets)
                 cuts = np.searchsorted(row, np.arange(b - a + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(at.astype(np.int32)))
-                found = []
-                for value in batch.column(0).slice(a, b - a).to_pylist():
-                    found.append([s[:500] for s in (value or "").replace("\n", ". ").split(". ") if names & set(s.lower().split())][:4])
-                yield pa.record_batch([lists, batch.column(1).slice(a, b - a), pa.array(found, pa.list_(pa.string())), batch.column(2).slice(a, b - a)], names=["at", "label", "sentences", "place"])
+                yield pa.record_batch([lists, batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], names=["at", "label", "place"])
 
-    got = sample.mapInArrow(run, "at array<int>, label int, sentences array<string>, place long").toArrow()  # the rows of max_train ids
+    got = sample.mapInArrow(run, "at array<int>, label int, place long").toArrow()  # at most max_train rows
     # one order whatever the partitions, so that sums, and the model, are the same on every run
     got = got.take(pa.array(np.argsort(got.column("place").to_numpy(), kind="stable")))
     sizes = pc.list_value_length(got.column("at")).to_numpy()
     flat = np.concatenate([c.flatten().to_numpy() for c in got.column("at").chunks]) if len(got) else np.empty(0, np.int32)
-    sentences = sorted({s for r in got.column("sentences").to_pylist() for s in r})
-    pairs = [(text_features(a), text_features(b)) for a, b in counterfactuals(sentences, terms)]
     labels_of = got.column("label").to_numpy()
     del got
-    return fit(Bags(flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), labels_of, pairs)
+    rows, positive = Bags(flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), labels_of > 0
+    used = telling(rows, positive, N_FEATURES) if rows.n and positive.any() and not positive.all() else np.empty(0, np.int64)
+    terms, found = stand_ins(sample, used, rows.n, int(positive.sum()), terms)
+    pairs = [(text_features(a), text_features(b)) for a, b in counterfactuals(found, terms)]
+    return fit(rows, labels_of, pairs, counterfactual=counterfactual)
 
 
 def score(docs: DataFrame, weights: np.ndarray, *, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:

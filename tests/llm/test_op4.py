@@ -45,12 +45,61 @@ def test_learns_and_leaves_group_mentions_alone(spark):
 
 def test_counterfactuals_lower_what_terms_add():
     rows, labels = corpus(300)
-    at = op.Bags.of([op.text_features(r[1]) for r in rows])
+    at = op.Bags.of([op.text_features(r[1] + " women" * (x[2] and r[0] % 2)) for r, x in zip(rows, labels, strict=True)])
     y = np.array([x[2] for x in labels])
-    pairs = [(op.text_features(a), op.text_features(b)) for a, b in op.counterfactuals([r[1] for r in rows[:50]])]
+    pairs = [(op.text_features(a), op.text_features(b)) for a, b in op.counterfactuals([("women", r[1]) for r in rows[:50]])]
     gap = lambda w: max(abs(op.sigmoid(w[a].sum() + w[-1]) - op.sigmoid(w[b].sum() + w[-1])) for a, b in pairs)
-    assert gap(op.fit(at, y, pairs, counterfactual=50.0)) <= gap(op.fit(at, y, [], counterfactual=0.0)) + 1e-9
-    assert ("Hi women.", "Hi men") in op.counterfactuals(["Hi women."]) and ("gay", "people") in op.counterfactuals([])
+    assert gap(op.fit(at, y, pairs, counterfactual=50.0)) < 0.5 * gap(op.fit(at, y, pairs, counterfactual=0.0))
+    found = op.counterfactuals([("women", "hi women there")], swaps=9)
+    assert [p for p in found[:3]] and {p[1] for p in found[:3]} == {"hi men there", "hi girls there", "hi boys there"} and ("gay", "people") in found
+
+
+def neutral_mentions():
+    """Toxic texts hold an insult or a rare word of one beginning; the bare word, and one like it, are in few texts, none of them toxic."""
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(900):
+        toxic = int(i % 5 == 0)
+        text = prose(rng, rng.randrange(8, 40))
+        if toxic:
+            text += " moron" if i % 2 else f" grofel{rng.choice('abcdefgh')}{rng.randrange(999)}"
+        elif i % 20 == 1:
+            text += f" {['grofel', 'grofelz'][i % 40 == 1]} {prose(rng, 3)}"
+        rows.append((i, text, "en", "s", 1))
+        labels.append((i, 1, toxic))
+    return rows, labels
+
+
+def test_penalty_acts_on_neutral_mentions(spark):
+    rows, labels = neutral_mentions()
+    docs, marks = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    sample = op.sampled(docs, marks, key="doc_id", text="text", label="toxic", max_train=10**6).collect()
+    assert len(sample) == 900
+    without, with_ = (op.train(docs, marks.where(~op.held_out()), counterfactual=c) for c in (0.0, 10.0))
+    assert np.abs(without - with_).max() > 0.1
+    scores = [{r.doc_id: r.score for r in op.score(docs, w).collect()} for w in (without, with_)]
+    mean = lambda s, k, n: sum(s[i] for i in range(k, 900, n)) / len(range(k, 900, n))
+    assert mean(scores[1], 1, 20) < mean(scores[0], 1, 20) - 0.1 and mean(scores[1], 5, 10) > 0.9
+
+
+def test_mentions_like_brute_force():
+    texts = ["Grofel one two, GROFEL women! " + "x " * 700 + "women end", "", None, "nothing here", "grofela women"]
+    hashed = lambda t: tv.Prefix(np.frombuffer(t, np.uint8)).hashes(np.array([0]), np.array([len(t)]))
+    names = np.sort(hashed(b"women"))
+    telling = np.sort(np.concatenate([tv.mix(hashed(b"grof") + np.uint64(4)), hashed(b"grofela")]) % np.uint64(op.N_FEATURES))
+    _, _, data, offsets = next(tv.each_block(pa.array(texts, pa.string())))
+    got = op.mentions(data, offsets, telling, names)
+    assert [g[:2] for g in got] == [(0, "grofel"), (0, "women"), (4, "women")] and got[0][2].startswith("grofel one two")
+    # a term far into a text is found, with the words around it
+    _, _, data, offsets = next(tv.each_block(pa.array(["x " * 3000 + "women end"])))
+    assert op.mentions(data, offsets, telling, names) == [(0, "women", "x " * op.WINDOW + "women end")]
+
+
+def test_sample_is_bounded_by_rows(spark):
+    docs = documents(spark, [(i % 10, f"text {i}", "en", "s", 1) for i in range(200)])
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(10)], "doc_id long, quality int, toxic int")
+    one = lambda d, n: sorted((r.text, r.label) for r in op.sampled(d, marks, key="doc_id", text="text", label="toxic", max_train=n).collect())
+    assert len(one(docs, 7)) == 7 and one(docs, 7) == one(docs.repartition(5), 7)
 
 
 def test_awkward_rows(spark):
