@@ -7,6 +7,9 @@ The search starts at the smallest residual that fits and goes on to the next lar
 neither the item's cluster nor its source too often: the tightest compatible bin. Without one, a new bin
 is opened. Nothing is dropped.
 
+A duplicate cluster is what the caller says; the query takes the SimHash components of ``op6_simhash``, near copies
+included, and ``pack`` by default equal texts without regard to case.
+
 A shard holds about ``shard_rows`` documents (or ``SHARD_BYTES`` of text, if texts are asked for) chosen by
 hash, so work and memory are bounded by it, copies and hot sources spread evenly, and a lost task packs the
 same shard in the same way again.
@@ -25,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.llm.op6_simhash import near_duplicates
 from siftline.llm.op7_mixing import WORD, n_words
+from siftline.llm.storage import written
 
 _WORD = re.compile(WORD)
 CAPACITY, MAX_PER_SOURCE, SHARD_ROWS = 2048, 2, 8192
@@ -77,11 +82,16 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: st
     cluster: a document's duplicate cluster, by default equal texts. A piece's text goes from its first word to
     the next piece's, so that a document's pieces side by side are its text.
     """
-    kind = docs.schema[key].dataType.simpleString()
     cluster = F.xxhash64(F.lower(text)) if cluster is None else cluster
-    n_rows, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
-    n_shards = max(1, -(-n_rows // shard_rows), -(-n_bytes // SHARD_BYTES) if texts else 1)
     item = docs.select(F.col(key).alias("k"), n_words(text).alias("size"), F.col(source).cast("string").alias("source"), cluster.cast("long").alias("cluster"), F.xxhash64(F.col(key), F.col(text)).alias("tag"), *([F.col(text).alias("text")] if texts else []))
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0] if texts else 0
+    return packed(item, docs.count(), n_bytes, key=key, capacity=capacity, max_per_source=max_per_source, shard_rows=shard_rows)
+
+
+def packed(item: DataFrame, n_rows: int, n_bytes: int, *, key: str, capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The same from items (k, size, source, cluster, tag), with texts if they have a text; tag tells rows apart."""
+    kind, texts = item.schema["k"].dataType.simpleString(), "text" in item.columns
+    n_shards = max(1, -(-n_rows // shard_rows), -(-n_bytes // SHARD_BYTES) if texts else 1)
     item = item.withColumn("shard", F.pmod(F.xxhash64("tag"), F.lit(n_shards)).cast("int"))
     names = [key, "piece", "start_word", "n_words", "bin_id", "bin_offset"]
 
@@ -135,4 +145,8 @@ def _cut(texts: pa.ChunkedArray, rows: list[int], first: list[int], n_words: lis
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), n_words("text").alias("size"), F.xxhash64("doc_id", "text").alias("tag"))
+    found = written(near_duplicates(rows, carry=("source", "size", "tag")))
+    item = found.select(F.col("doc_id").alias("k"), "size", "source", F.col("component").alias("cluster"), "tag")
+    return packed(item, found.count(), 0, key="doc_id")

@@ -1,12 +1,15 @@
 """Telephony audio columns: G.711 mu-law and A-law by lookup tables, IMA ADPCM blocks decoded with numpy
 across blocks, and resampled PCM in WAVE containers.
 
-``encode_media`` stores payload bytes as 8-bit mu-law samples in a WAVE file, ``decode_media`` reads the
-stored bytes back, and ``to_pcm`` turns a media column of any of the three codecs into 16-bit linear PCM
-at another rate. All arithmetic is on integers, so equal media give equal results on any machine.
+``encode_media`` makes payload bytes the 8-bit mu-law samples of a WAVE file and ``to_pcm`` turns a media column
+of any of the three codecs into 16-bit linear PCM at another rate. The query writes both columns to a table in
+the shared folder, and ``decode_media`` computes digests and features from what it reads back. All arithmetic is
+on integers, so equal media give equal results on any machine. The query's PCM is stored at ``STORED_RATE``, a
+byte for each byte of media before compression; ``PCM_RATE``, at which features are taken, would store four.
 
 Defined cases: a null or empty text has the payload of 64 zero bytes. Payloads of any length are taken
-whole. Media that are no WAVE file of a known codec give null PCM. Repeated rows are treated each on its
+whole. Media that are no WAVE file of a known codec, and null media, give null PCM, digests and features, as do
+samples of other codecs than 8-bit ones in ``decode_media``. Repeated rows are treated each on its
 own, alike; null ids are carried; other columns are ignored.
 """
 
@@ -20,10 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftline.llm import textvec as tv
+from siftline.llm.storage import written
 
-RATE, PCM_RATE, UNIT = 8000, 16000, 64
+RATE, PCM_RATE, STORED_RATE, UNIT = 8000, 16000, 4000, 64
 #: WAVE format tags.
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 17
 
@@ -155,19 +160,24 @@ def encode_media(docs: DataFrame, *, key: str = "doc_id", text: str = "text", un
     return docs.select(key, text).mapInArrow(encode, f"`{key}` {kind}, n_bytes long, media binary")
 
 
-def to_pcm(table: DataFrame, *, key: str, media: str = "media", rate: int = PCM_RATE) -> DataFrame:
-    """(key, pcm): each row's audio as a WAVE file of 16-bit PCM at the rate."""
-    kind = table.schema[key].dataType.simpleString()
+def to_pcm(table: DataFrame, *, key: str = "doc_id", media: str = "media", rate: int = PCM_RATE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *carry, pcm): each row's audio as a WAVE file of 16-bit PCM at the rate."""
+    names = [key, *carry]
+    slim = table.select(*names, F.col(media).alias("_media"))
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                parsed = parse_wave(batch.column(1)[at].as_py())
-                samples = linear(parsed[0], parsed[2], parsed[3]) if parsed else None
-                pcm = None if samples is None else wave(PCM, rate, 16, 2, resample(samples, parsed[1], rate).astype("<i2").tobytes())
-                yield pa.record_batch([batch.column(0).slice(at, 1), pa.array([pcm], pa.binary())], names=[key, "pcm"])
+            _, offsets = tv.buffers(batch.column(len(names)))
+            for a, b in tv.blocks(offsets, 4 * tv.BLOCK):
+                found = []
+                for one in batch.column(len(names)).slice(a, b - a).to_pylist():
+                    parsed = parse_wave(one)
+                    samples = linear(parsed[0], parsed[2], parsed[3]) if parsed else None
+                    found.append(None if samples is None else wave(PCM, rate, 16, 2, resample(samples, parsed[1], rate).astype("<i2").tobytes()))
+                yield pa.record_batch([*(batch.column(i).slice(a, b - a) for i in range(len(names))), pa.array(found, pa.binary())], names=[*names, "pcm"])
 
-    return table.select(key, media).mapInArrow(convert, f"`{key}` {kind}, pcm binary")
+    schema = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in names)
+    return slim.mapInArrow(convert, f"{schema}, pcm binary")
 
 
 def _features(payload: np.ndarray, rate: int) -> str:
@@ -180,39 +190,42 @@ def _features(payload: np.ndarray, rate: int) -> str:
     return ";".join(said)
 
 
+def _adpcm(samples: np.ndarray, rate: int) -> str:
+    pcm = resample(samples, rate, PCM_RATE)
+    return f"adpcm:{len(pcm)},{int(pcm.min())},{int(pcm.max())},{zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
+
+
 def decode_media(table: DataFrame, *, key: str = "doc_id", unit: int = UNIT, batch_bytes: int = 1 << 20) -> DataFrame:
-    """Reads stored media back: the payload's digests and the features of its audio."""
+    """From stored media and PCM: the payload's digests and the features of its audio."""
     kind = table.schema[key].dataType.simpleString()
-    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+
+    def described(payload: np.ndarray, media: bytes, pcm: bytes | None, rate: int, adpcm: np.ndarray) -> dict:
+        body = parse_wave(pcm)
+        feature = [_features(payload, rate), *([_adpcm(adpcm, rate)] if len(adpcm) else []), f"pcm:{body[1]},{len(body[3]) // 2},{zlib.crc32(body[3]):08x}" if body else "pcm:none"]
+        return {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-unit:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": ";".join(feature)}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, offsets = tv.buffers(batch.column(2))
             for a, b in tv.blocks(offsets, batch_bytes):
-                stored = batch.column(2).slice(a, b - a).to_pylist()
-                parsed = [parse_wave(m) for m in stored]
-                payloads = [np.frombuffer(p[3], np.uint8) for p in parsed]
+                stored, pcm = (batch.column(c).slice(a, b - a).to_pylist() for c in (2, 3))
+                parsed = [p if (p := parse_wave(m)) and p[0] in (MU_LAW, A_LAW) and len(p[3]) else None for m in stored]
+                payloads = [np.frombuffer(p[3], np.uint8) if p else np.empty(0, np.uint8) for p in parsed]
                 # ADPCM of all payloads of the block at once, in units of 64 bytes
                 decoded = decode_ima(np.concatenate([p[: len(p) // unit * unit] for p in payloads]).reshape(-1, unit))
                 cuts = np.cumsum([0, *(len(p) // unit for p in payloads)])
-                feature = []
-                for k, p in enumerate(payloads):
-                    adpcm = resample(decoded[cuts[k] : cuts[k + 1]].ravel(), parsed[k][1], PCM_RATE)
-                    feature.append(f"{_features(p, parsed[k][1])};adpcm:{len(adpcm)},{int(adpcm.min())},{int(adpcm.max())},{zlib.crc32(adpcm.astype('<i2').tobytes()):08x}")
-                columns = [
-                    batch.column(0).slice(a, b - a),
-                    batch.column(1).slice(a, b - a),
-                    pa.array([len(p) for p in payloads], pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
-                    pa.array([zlib.crc32(p[-unit:]) for p in payloads], pa.int64()),
-                    pa.array([len(m) for m in stored], pa.int64()),
-                    pa.array([hashlib.sha256(m).hexdigest() for m in stored]),
-                    pa.array(feature),
-                ]
-                yield pa.record_batch(columns, names=names)
-
-    return table.select(key, "n_bytes", "media").mapInArrow(decode, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+                found = [described(p, stored[k], pcm[k], parsed[k][1], decoded[cuts[k] : cuts[k + 1]].ravel()) if parsed[k] else dict.fromkeys(kinds) for k, p in enumerate(payloads)]
+                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array([f[c] for f in found], t) for c, t in kinds.items())]
+                yield pa.record_batch(columns, names=[key, "n_bytes", *kinds])
+
+    return table.select(key, "n_bytes", "media", "pcm").mapInArrow(decode, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def stored(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rate: int = STORED_RATE) -> DataFrame:
+    """(key, n_bytes, media, pcm), written to the shared folder and read back."""
+    return written(to_pcm(encode_media(docs, key=key, text=text), key=key, rate=rate, carry=("n_bytes", "media")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_media(encode_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return decode_media(stored(spark.read.parquet(f"{sf_dir}/documents.parquet")))

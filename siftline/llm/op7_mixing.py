@@ -9,8 +9,12 @@ hash of its id and text, and a source's documents are taken in the order of thei
 come first; of the rest of the target, documents are taken while their middle lies within it, so a source
 misses its target by at most half of its largest document.
 
-A hot source is no single group: keys are cut into slices of equal probability, prefix sums run within a
-slice, and the slices' offsets come from their totals. The targets reach the rows with the same join on
+The quality is a column of the caller's, from ``LEAST_QUALITY`` to 1, or by default that floor and, above it, the
+share of letters of any script among a text's characters other than blanks.
+
+A hot source is no single group: keys are cut into slices, prefix sums run within a slice, and the slices' offsets
+come from their totals. Slices are equally probable for documents of the least quality, so that none of a source
+holds more than 1 / ``LEAST_QUALITY`` times its mean, whatever the qualities. The targets reach the rows with the same join on
 (source, slice). No text is shuffled.
 
 Defined cases: null or empty texts have size 0 and are never taken; a null source is a source of its own;
@@ -28,17 +32,18 @@ from siftline.llm.storage import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MAX_EPOCHS = (3, 1, 2), 1.5, 2
-SLICE_ROWS, MIN_SLICES = 50_000, 64
+SLICE_ROWS, MIN_SLICES = 20_000, 256
+LEAST_QUALITY = 0.25
 
 
 def n_words(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def quality_weight(text: str, size: str) -> Column:
-    """Between 0.25 and 1: texts whose words are 3 to 10 characters long on average weigh most."""
-    mean = F.length(text) / F.greatest(F.col(size), F.lit(1))
-    return F.when((mean >= 3) & (mean <= 10), 1.0).when((mean >= 2) & (mean <= 20), 0.5).otherwise(0.25)
+def quality_weight(text: str) -> Column:
+    """LEAST_QUALITY to 1 by the share of letters among the characters other than blanks."""
+    letters, others = (F.coalesce(F.length(F.regexp_replace(text, p, "")), F.lit(0)) for p in (r"\P{L}+", r"[\p{L}\s]+"))
+    return LEAST_QUALITY + (1 - LEAST_QUALITY) * letters / F.greatest(letters + others, F.lit(1))
 
 
 def targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -56,13 +61,17 @@ def targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: fl
     return s.select("source", "no_source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(level * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def slice_of(draw: Column, n_slices: int) -> Column:
+    return F.least(F.floor((1 - F.exp(-LEAST_QUALITY * draw)) * n_slices), F.lit(n_slices - 1)).cast("int")
+
+
+def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, quality: Column | None = None) -> DataFrame:
     """(key, tag, size, source_size, target, copies, taken) for each row; tag is a hash of id and text."""
-    row = docs.select(F.col(key).alias("k"), F.coalesce(source, F.lit("")).alias("source"), F.col(source).isNull().alias("no_source"), n_words(text).alias("size"), F.xxhash64(F.col(key), F.col(text)).alias("tag"), F.col(text).alias("text"))
+    row = docs.select(F.col(key).alias("k"), F.coalesce(source, F.lit("")).alias("source"), F.col(source).isNull().alias("no_source"), n_words(text).alias("size"), F.xxhash64(F.col(key), F.col(text)).alias("tag"), F.least(F.greatest(F.coalesce(quality_weight(text) if quality is None else quality, F.lit(LEAST_QUALITY)), F.lit(LEAST_QUALITY)), F.lit(1.0)).alias("quality"))
     unit = (F.shiftrightunsigned(F.xxhash64("tag", F.lit("mix")), 11).cast("double") + 0.5) / float(1 << 53)
-    rows = written(row.select("k", "source", "no_source", "size", "tag", (-F.log(unit) / quality_weight("text", "size")).alias("draw")))
+    rows = written(row.select("k", "source", "no_source", "size", "tag", (-F.log(unit) / F.col("quality")).alias("draw")))
     n_slices = max(MIN_SLICES, rows.count() // SLICE_ROWS)
-    rows = rows.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("draw"))) * n_slices), F.lit(n_slices - 1)).cast("int"))
+    rows = rows.withColumn("slice", slice_of(F.col("draw"), n_slices))
     group = ["source", "no_source"]
     slices = rows.groupBy(*group, "slice").agg(F.sum("size").alias("slice_size"))
     aims = targets(rows.groupBy(*group).agg(F.sum("size").alias("source_size")), weights=weights, share=share, max_epochs=max_epochs)

@@ -82,3 +82,18 @@ def test_texts_of_pieces(spark):
 def test_query(spark, sf):
     data = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     check(op.query(spark, sf).collect(), data, op.CAPACITY, op.MAX_PER_SOURCE)
+
+
+def test_near_copies_do_not_share_a_bin(spark, sf):
+    from siftline.llm import op6_simhash
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    component = {r.doc_id: r.component for r in op6_simhash.near_duplicates(docs).collect()}
+    rests = Counter((g.bin_id, component[g.doc_id]) for g in op.query(spark, sf).collect() if g.n_words % op.CAPACITY)
+    assert max(rests.values()) == 1 and max(Counter(component.values()).values()) > 1
+
+
+def test_long_text(spark):
+    docs = documents(spark, [(1, "word " * 100_000, "en", "s", 1), (2, "a b", "en", "s", 1)])
+    got = [g for g in op.pack(docs, texts=True).collect() if g.doc_id == 1]
+    assert sum(g.n_words for g in got) == 100_000 and "".join(g.text for g in sorted(got, key=lambda g: g.piece)) == "word " * 100_000

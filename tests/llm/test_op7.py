@@ -71,10 +71,34 @@ def test_complete_epochs_come_first(spark):
 
 
 def test_quality_scales_the_keys(spark):
-    rows = [(i, "good words here" if i % 2 else "x y z", "en", "s" if i < 2000 else "t", 1) for i in range(2300)]
-    got = op.mix(documents(spark, rows), weights=(1, 1), share=0.5, max_epochs=1).where("source_size = 6000")
-    rate = {r.good: r.rate for r in got.groupBy((F.col("doc_id") % 2).alias("good")).agg(F.avg((F.col("taken") > 0).cast("double")).alias("rate")).collect()}
-    assert rate[1] > 1.5 * rate[0]
+    rows = [(i, "good words here" if i % 2 else "1 2 3", "en", "s" if i < 2000 else "t", 1) for i in range(2300)]
+    docs = documents(spark, rows)
+    for quality in (None, F.when(F.col("doc_id") % 2 == 1, 1.0)):  # a caller's null is the least
+        got = op.mix(docs, weights=(1, 1), share=0.5, max_epochs=1, quality=quality).where("source_size = 6000")
+        rate = {r.good: r.rate for r in got.groupBy((F.col("doc_id") % 2).alias("good")).agg(F.avg((F.col("taken") > 0).cast("double")).alias("rate")).collect()}
+        assert rate[1] > 1.5 * rate[0]
+
+
+def test_quality_is_blind_to_scripts(spark):
+    texts = ["plain words", "语言没有空格的文本", "кириллица", "a1 b2", "123 456", "", None, "$$$ a"]
+    frame = documents(spark, [(i, t, None, "s", 1) for i, t in enumerate(texts)])
+    got = [r.q for r in frame.select("doc_id", op.quality_weight("text").alias("q")).orderBy("doc_id").collect()]
+    assert got == [1.0, 1.0, 1.0, 0.625, 0.25, 0.25, 0.25, 0.25 + 0.75 / 4]
+
+
+def test_slices_are_even(spark):
+    """Whatever the quality of a source's documents, no slice holds more than 1 / LEAST_QUALITY times the mean."""
+    n, slices = 40_000, 64
+    draw = lambda q: -F.log((F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") + 0.5) / float(1 << 53)) / q
+    for q, most in ((0.25, 1.5), (0.5, 2.3), (1.0, 4.4)):
+        sizes = [r["count"] for r in spark.range(n).select(op.slice_of(draw(q), slices).alias("s")).groupBy("s").count().collect()]
+        assert max(sizes) <= most * n / slices
+
+
+def test_long_text(spark):
+    docs = documents(spark, [(1, "word " * 100_000, "en", "s", 1), (2, "a b", "en", "s", 1)])
+    by = {r.doc_id: r for r in op.mix(docs).collect()}
+    assert by[1].size == 100_000 and by[1].taken in (100_000, 200_000)
 
 
 def test_empty_and_native(spark):
