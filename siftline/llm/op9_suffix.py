@@ -153,24 +153,17 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple
             yield row, begin, part, np.array([0, len(part)]), at - begin, at - begin + PIECE
 
 
-def word_codes(column: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
-    """(first row, last row + 1, codes) for each block: the texts as rows of their words' hashes, 8 bytes each."""
+def units(column: pa.Array, unit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, offsets) for each block; with unit WORD the bytes are those of the words' hashes."""
     for a, b, data, offsets in tv.each_block(column):
-        starts, ends, bounds = tv.word_spans(data, offsets)
-        codes = tv.Prefix(data).hashes(starts, ends).astype("<u8")
-        yield a, b, pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((bounds * WORD).astype(np.int32).tobytes()), pa.py_buffer(codes.tobytes())])
+        if unit > 1:
+            starts, ends, bounds = tv.word_spans(data, offsets)
+            data, offsets = tv.Prefix(data).hashes(starts, ends).astype("<u8").view(np.uint8), bounds * WORD
+        yield a, b, data, offsets
 
 
-def _tagged(docs: DataFrame, key: str, text: str, unit: int) -> DataFrame:
-    """(tag, text): a hash of id and text, and the bytes that strings are made of."""
-    tagged = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("tag"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, codes in word_codes(batch.column(1)):
-                yield pa.record_batch([batch.column(0).slice(a, b - a), codes], names=["tag", "text"])
-
-    return tagged if unit == 1 else tagged.mapInArrow(run, "tag long, text binary")
+def _tagged(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.xxhash64(F.col(key), F.col(text)).alias("tag"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
 
 
 def _all_anchors(tagged: DataFrame, width: int, unit: int) -> DataFrame:
@@ -179,7 +172,7 @@ def _all_anchors(tagged: DataFrame, width: int, unit: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tags = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, _, data, offsets in tv.each_block(batch.column(1)):
+            for a, _, data, offsets in units(batch.column(1), unit):
                 for row, shift, part, bounds, first, last in _pieces(data, offsets, width):
                     at, hashes, context, covered = anchors(part, bounds, width, first, last, unit)
                     both = np.concatenate([at, covered[:, 0]])
@@ -200,8 +193,8 @@ def _finer(cands: DataFrame, tagged: DataFrame, width: int, span: int, unit: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                data = np.frombuffer(batch.column(1)[row].as_buffer(), np.uint8)
+            rows = ((a + i, data[offsets[i] : offsets[i + 1]]) for a, b, data, offsets in units(batch.column(1), unit) for i in range(b - a))
+            for row, data in rows:
                 prefix, out = tv.Prefix(data), set()
                 for at in batch.column(2)[row].as_py():
                     for lo in range(0, width - at["k"] + 1, span * unit):
@@ -252,7 +245,7 @@ def candidates(tagged: DataFrame, width: int, hot: int, unit: int = 1) -> tuple[
 RUN_SCHEMA = "k int, bucket int, shared array<int>, tails array<binary>, lefts array<binary>, hs array<long>, contexts array<long>, counts array<long>"
 
 
-def _runs(suffixes: DataFrame, tagged: DataFrame, width: int, n_buckets: int) -> DataFrame:
+def _runs(suffixes: DataFrame, tagged: DataFrame, width: int, n_buckets: int, unit: int) -> DataFrame:
     """Sorted front-coded runs of the suffixes, one row for each task (or more), k and bucket."""
     bucket = F.pmod(F.xxhash64("h", "k"), F.lit(n_buckets)).cast("int").alias("bucket")
     listed = suffixes.groupBy("tag").agg(F.collect_list(F.struct("pos", "k", bucket, "h", "ctx", "m")).alias("at"))
@@ -271,8 +264,9 @@ def _runs(suffixes: DataFrame, tagged: DataFrame, width: int, n_buckets: int) ->
         held: dict[tuple[int, int], list] = {}
         size = 0
         for batch in batches:
-            for row in range(batch.num_rows):
-                text, at = batch.column(0)[row].as_py(), batch.column(1)[row].values
+            rows = ((a + i, data[offsets[i] : offsets[i + 1]].tobytes()) for a, b, data, offsets in units(batch.column(0), unit) for i in range(b - a))
+            for row, text in rows:
+                at = batch.column(1)[row].values
                 for p, k, b, h, ctx, m in zip(*(at.field(i).to_pylist() for i in range(6)), strict=True):
                     held.setdefault((k, b), []).append((text[p : p + width], text[max(0, p - width + k) : p], h, ctx, m))
                     size += 2 * width
@@ -382,10 +376,10 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     width and ranges are in bytes, with unit ``WORD`` in words of 8 bytes.
     """
-    tagged = _tagged(docs, key, text, unit)
+    tagged = _tagged(docs, key, text)
     places, suffixes, covered = candidates(tagged, width, hot, unit)
     n_buckets = max(8, suffixes.count() // GROUP_ROWS)
-    reached = written(_reached(_runs(suffixes, tagged, width, n_buckets), width, unit))
+    reached = written(_reached(_runs(suffixes, tagged, width, n_buckets, unit), width, unit))
     released(docs.sparkSession)
     spans = places.join(reached.hint("merge"), ["k", "h", "ctx"]).select("tag", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("stop"))
     spans = written(spans.unionAll(covered).distinct())
