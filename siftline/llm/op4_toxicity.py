@@ -12,8 +12,8 @@ model is ``N_FEATURES`` + 1 floats.
 What is learned from is a bounded sample, by parameters: at most ``MAX_TRAIN`` labelled texts, those with the least
 hash of id (one text for an id, that of the least hash); of them at most ``MAX_TERMS`` learned terms, the most
 frequent, and ``MAX_SENTENCES`` sentences, those with the least hash. A sentence is the ``WINDOW`` words on either
-side of its term, wherever it stands in the text. Features are taken on the executors; the driver gets each
-sampled text's distinct feature numbers. Every text is scored whole.
+side of its term, wherever it stands in the text. Features are taken and counted on the executors; the driver gets
+two counts for each of ``N_FEATURES`` and then each sampled text's telling feature numbers. Every text is scored whole.
 
 Defined cases: null or empty texts have no feature and the score of the intercept. Labels that are null are
 not learned from; of several labels of an id the largest counts. Rows with a null id are held in, cannot be
@@ -163,24 +163,25 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def telling(rows: Bags, positive: np.ndarray, n_features: int, least: float = CHI_SQUARED) -> np.ndarray:
-    """Features found more often in texts of label 1, by the chi-squared statistic of the two-by-two table."""
-    n, n1 = rows.n, int(positive.sum())
-    both, ones = rows.counts(n_features), rows.counts(n_features, positive)
+def telling(n: int, n1: int, both: np.ndarray, ones: np.ndarray, least: float = CHI_SQUARED) -> np.ndarray:
+    """Features found more often in texts of label 1, by the chi-squared statistic of the two-by-two table: of n texts and of the n1 of label 1, those that have each."""
     cross = ones * (n - n1 - (both - ones)) - (both - ones) * (n1 - ones)
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = n * cross * cross / (both * (n - both) * n1 * (n - n1))
     return np.flatnonzero((cross > 0) & (chi >= least))
 
 
-def fit(rows: Bags, labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], *, n_features: int = N_FEATURES, rounds: int = ROUNDS, l1: float = L1, l2: float = L2, counterfactual: float = COUNTERFACTUAL) -> np.ndarray:
-    """Weights, the intercept last, by accelerated proximal gradient steps on balanced log loss + penalties; weights are 0 or more."""
+def fit(rows: Bags, labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], *, n_features: int = N_FEATURES, rounds: int = ROUNDS, l1: float = L1, l2: float = L2, counterfactual: float = COUNTERFACTUAL, used: np.ndarray | None = None) -> np.ndarray:
+    """Weights, the intercept last, by accelerated proximal gradient steps on balanced log loss + penalties; weights are 0 or more.
+
+    used: the telling features, if rows hold no others.
+    """
     weights = np.zeros(n_features + 1, dtype=np.float64)
     positive = labels > 0
     if not rows.n or positive.all() or not positive.any():
         weights[-1] = -40.0
         return weights
-    used = telling(rows, positive, n_features)
+    used = telling(rows.n, int(positive.sum()), rows.counts(n_features), rows.counts(n_features, positive)) if used is None else used
     lookup = np.full(n_features, -1, dtype=np.int32)
     lookup[used] = np.arange(len(used))
     x, a, b = (Sparse(bags, lookup) for bags in (rows, Bags.of([p[0] for p in pairs]), Bags.of([p[1] for p in pairs])))
@@ -253,11 +254,31 @@ def stand_ins(sample: DataFrame, used: np.ndarray, n: int, n1: int, terms: tuple
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = MAX_TRAIN, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, counterfactual: float = COUNTERFACTUAL) -> np.ndarray:
     """Weights learned from the rows of labels with a text. The caller leaves held-out rows out of labels."""
     sample = sampled(docs, labels, key=key, text=text, label=label, max_train=max_train)
+    n, n1 = sample.agg(F.count("*"), F.coalesce(F.sum((F.col("label") > 0).cast("int")), F.lit(0))).first()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros((2, N_FEATURES), np.int64)
+        for batch in batches:
+            positive = batch.column(1).to_numpy(zero_copy_only=False) > 0
+            for a, b, data, offsets in tv.each_block(batch.column(0)):
+                at, row = features(data, offsets)
+                both[0] += np.bincount(at, minlength=N_FEATURES)
+                both[1] += np.bincount(at[positive[a:b][row]], minlength=N_FEATURES)
+        found = np.flatnonzero(both[0])
+        yield pa.record_batch([pa.array(found), pa.array(both[0][found]), pa.array(both[1][found])], names=["feature", "n", "n1"])
+
+    counts = sample.select("text", "label").mapInArrow(count, "feature long, n long, n1 long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).toArrow()
+    both, ones = np.zeros(N_FEATURES), np.zeros(N_FEATURES)
+    for target, name in ((both, "n"), (ones, "n1")):
+        target[counts.column("feature").to_numpy()] = counts.column(name).to_numpy()
+    used = telling(n, n1, both, ones) if 0 < n1 < n else np.empty(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in tv.each_block(batch.column(0)):
                 at, row = features(data, offsets)
+                told = np.isin(at, used)
+                at, row = at[told], row[told]
                 cuts = np.searchsorted(row, np.arange(b - a + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(at.astype(np.int32)))
                 yield pa.record_batch([lists, batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], names=["at", "label", "place"])
@@ -267,13 +288,10 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     got = got.take(pa.array(np.argsort(got.column("place").to_numpy(), kind="stable")))
     sizes = pc.list_value_length(got.column("at")).to_numpy()
     flat = np.concatenate([c.flatten().to_numpy() for c in got.column("at").chunks]) if len(got) else np.empty(0, np.int32)
-    labels_of = got.column("label").to_numpy()
-    del got
-    rows, positive = Bags(flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), labels_of > 0
-    used = telling(rows, positive, N_FEATURES) if rows.n and positive.any() and not positive.all() else np.empty(0, np.int64)
-    terms, found = stand_ins(sample, used, rows.n, int(positive.sum()), terms)
+    rows = Bags(flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+    terms, found = stand_ins(sample, used, n, n1, terms)
     pairs = [(text_features(a), text_features(b)) for a, b in counterfactuals(found, terms)]
-    return fit(rows, labels_of, pairs, counterfactual=counterfactual)
+    return fit(rows, got.column("label").to_numpy(), pairs, counterfactual=counterfactual, used=used)
 
 
 def score(docs: DataFrame, weights: np.ndarray, *, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
