@@ -3,8 +3,9 @@ import re
 import __spark_entry__
 import corpus_pipeline
 from siftline.llm import op4_toxicity, op7_mixing, op10_packing
+from tests.llm.common import clashing, documents
 from tests.llm.test_op6_similar import groups
-from tests.llm.test_op9 import brute as repeats
+from tests.llm.test_op9 import word_runs
 from tests.llm.test_op10 import check
 
 
@@ -30,12 +31,14 @@ def test_stages_like_brute_force(spark, sf, tmp_path):
             ids = [r.doc_id for r in after]
             assert set(least.values()) <= set(ids) and len(ids) <= 1.02 * len(least) < len(before)
         elif name == "suffix_array_dedup":
-            want = {r[0]: b for r, b in zip(before, repeats([r[1] for r in before], 400), strict=True)}
-            texts = {r[0]: r[1] for r in before}
-            assert len(after) == len(before) and any(b[1] for b in want.values())
-            for r in after:
-                n, removed = want[r.doc_id][:2]
-                assert r.text == texts[r.doc_id] if not removed else n - removed - 3 * want[r.doc_id][2] * 2 <= len(r.text.encode()) <= n - removed
+            marked = 0
+            by = {r.doc_id: r.text for r in after}
+            for r, raw, words, mark in zip(before, *word_runs([r[1] for r in before], 51), strict=True):
+                edges = [x for x, _ in words] + [len(raw)]
+                kept = raw[: edges[0]] + b"".join(raw[edges[i] : edges[i + 1]] for i, m in enumerate(mark) if not m)
+                assert by[r[0]] == (None if r[1] is None else kept.decode())
+                marked += any(mark)
+            assert len(after) == len(before) and marked
         elif name == "source_mixing":
             assert len(after) != len(before) and {r.doc_id for r in after} <= {r[0] for r in before}
             words = lambda rows: sum(len(re.findall(op7_mixing.WORD, r[1] or "")) for r in rows)
@@ -50,3 +53,20 @@ def test_run_and_registration(spark, sf):
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_stages_on_awkward_and_empty_tables(spark, sf, tmp_path):
+    """Nulls, blanks, repeats, a long text and clashing columns go through all stages; empty tables stay empty."""
+    docs, none = clashing(documents(spark)), clashing(documents(spark)).where("false")
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for frame in (docs, none):
+            path = str(tmp_path / f"{name}{frame is none}")
+            stage(spark, frame, sf).write.parquet(path)
+        docs, none = (spark.read.parquet(str(tmp_path / f"{name}{empty}")) for empty in (False, True))
+        assert docs.count() > 0 and none.count() == 0
+        if k < 4:
+            assert docs.columns == columns
+        if k == 1:
+            ids = [r.doc_id for r in docs.collect()]
+            assert None in ids and len(ids) == len(set(ids))
