@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 FOLDED = "ſßŉǰẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆ"
 #: Unicode whitespace as a regular-expression class.
 WHITESPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: The characters of a normal form.
+KEPT = frozenset("abcdefghijklmnopqrstuvwxyz0123456789:/+-")
 NOT_KEPT = "[^a-z0-9:/+-]+"
 
 
@@ -28,9 +30,7 @@ def normalize(c: Column) -> Column:
 
 def normalize_literal(text: str) -> str:
     """``normalize`` for phrases of the configuration, on the driver."""
-    import re
-
-    return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s:/+\-]", " ", text.casefold(), flags=re.ASCII), flags=re.ASCII).strip()
+    return " ".join("".join(x if x in KEPT else " " for x in text.casefold()).split())
 
 
 def compact(c: Column) -> Column:

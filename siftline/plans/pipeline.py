@@ -86,9 +86,9 @@ class Engine:
         return rerank(records, self.ask, template=template, max_chars=self.app.rerank.max_description_chars)
 
     def run(self, now: datetime | None = None) -> dict[str, int]:
-        """One intake. A source that fails is reported and left out; alerts go out after the commit."""
+        """One intake. A source that fails is reported and left out, and if all fail so does the run; alerts go out after the commit and are then acknowledged."""
         now = now or datetime.now(timezone.utc)
-        parts = []
+        parts, failed = [], []
         for source in self.app.sources:
             if not source.enabled:
                 continue
@@ -98,26 +98,45 @@ class Engine:
                 parts.append(found)
             except Exception:
                 log.exception("source %s failed", source.name)
+                failed.append(source.name)
+        if failed and not parts:
+            raise RuntimeError(f"no source could be read: {', '.join(failed)}")
         if not parts:
             return {"ingested": 0, "persisted": 0, "alerts": 0}
         arrived = union(parts).withColumn("seq", F.monotonically_increasing_id())
         # evaluated once: results, state, events and alerts all read the same rows
         decided = written(identity(evaluate(arrived, self.app.rules, self.app.profiles, self._reranked)))
         sends = self.send is not None and self.app.chat.instant_a_tier
-        results, state, events = upsert(decided, self.store.state(), now, sends=sends)
+        stored = self.store.state()
+        results, _, events = upsert(decided, stored, now, sends=sends)
+        _, state, _ = upsert(decided, stored, now, sends=False)  # what is due stays due until it is sent
+        ingested = decided.count()
         alerts = None
         if sends:
             due = results.where("should_alert").select("job_uid", "seq")
-            alerts = decided.join(due, ["job_uid", "seq"]).select("job_uid", "tier", "seq", reports.instant_alert().alias("message"))
-            events = events.unionByName(acknowledged(alerts, now, "telegram"))
-        ingested = decided.count()
-        messages = [r.message for r in alerts.orderBy("seq").collect()] if alerts is not None else []
+            alerts = written(decided.join(due, ["job_uid", "seq"]).select("job_uid", "tier", "seq", reports.instant_alert().alias("message")))
         self.store.commit(state, events)
-        sent = sum(bool(self.send(m)) for m in messages)
+        sent = self._alert(alerts, now) if alerts is not None else 0
         for p in parts:
             p.unpersist()
         return {"ingested": ingested, "persisted": ingested, "alerts": sent}
 
+    def _alert(self, alerts: DataFrame, now: datetime) -> int:
+        """Sends alerts in their order and commits an acknowledgement for those that went out; the others stay due."""
+        sent: list[tuple[str, int]] = []  # names only: messages pass by one at a time
+        for r in alerts.orderBy("seq").toLocalIterator():
+            try:
+                if self.send(r.message):
+                    sent.append((r.job_uid, r.seq))
+            except Exception:
+                log.exception("alert for %s failed", r.job_uid)
+        if sent:
+            done = self.spark.createDataFrame(sent, "job_uid string, seq long")
+            named = done.select("job_uid", F.lit("A").alias("_sent")).distinct()
+            state = self.store.state().join(named, "job_uid", "left").withColumn("last_alerted_tier", F.coalesce("_sent", "last_alerted_tier"))
+            self.store.commit(state, acknowledged(alerts.join(done, ["job_uid", "seq"], "left_semi"), now, "telegram"))
+        return len(sent)
+
     def digest(self, hours: int = reports.DIGEST_HOURS, now: datetime | None = None) -> str:
         text = reports.digest(self.store.state(), now or datetime.now(timezone.utc), hours=hours)
         if self.send is not None and self.app.chat.daily_digest_enabled:

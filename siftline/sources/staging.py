@@ -13,6 +13,8 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         had = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not had.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = had.get() if had.isDefined() else "file://" + tempfile.mkdtemp(prefix="siftline-")
         if not had.isDefined():
             spark.sparkContext.setCheckpointDir(base)

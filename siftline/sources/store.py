@@ -1,4 +1,4 @@
-"""Versioned Parquet state with an event log and feedback; one pointer file makes a version current."""
+"""Versioned Parquet state with an event log and feedback; a pointer file makes a version current."""
 
 from __future__ import annotations
 
@@ -10,9 +10,9 @@ from siftline.schema import EVENT, FEEDBACK, STATE
 
 
 class Store:
-    """State and events of a run are written under one version folder and appear together when the pointer moves.
+    """State and events of a run are written under one version folder and appear together with its pointer file.
 
-    Readers of an older version go on undisturbed; a run that dies before the pointer moves leaves no trace
+    Readers of an older version go on undisturbed; a run that dies before its pointer is there leaves no trace
     in what readers see. All paths go through Hadoop's file systems.
     """
 
@@ -24,12 +24,18 @@ class Store:
     def _path(self, path: str):
         return self._jvm.org.apache.hadoop.fs.Path(path)
 
+    def _names(self, start: str) -> list[int]:
+        """The numbers of the files or folders of the base whose names are start and a number, ascending."""
+        found = self._fs.globStatus(self._path(f"{self.base}/{start}*")) or []
+        tails = [f.getPath().getName()[len(start) :] for f in found]
+        return sorted(int(t) for t in tails if t.isdigit())
+
     def versions(self) -> list[int]:
-        """Committed versions, oldest first."""
-        pointer = self._path(f"{self.base}/CURRENT")
-        if not self._fs.exists(pointer):
+        """Committed versions, oldest first: those that the pointer with the highest number lists."""
+        pointers = self._names("CURRENT.")
+        if not pointers:
             return []
-        stream = self._fs.open(pointer)
+        stream = self._fs.open(self._path(f"{self.base}/CURRENT.{pointers[-1]}"))
         try:
             text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
@@ -52,19 +58,19 @@ class Store:
     def commit(self, state: DataFrame, events: DataFrame) -> int:
         """Writes a version and makes it current."""
         have = self.versions()
-        new = have[-1] + 1 if have else 1
-        state.select(*STATE.names).write.mode("overwrite").parquet(f"{self.base}/v{new}/state")
-        events.select(*EVENT.names).write.mode("overwrite").parquet(f"{self.base}/v{new}/events")
+        new = max([0, *have, *self._names("v")]) + 1  # a folder that a dead run left is never written again
+        state.select(*STATE.names).write.parquet(f"{self.base}/v{new}/state")
+        events.select(*EVENT.names).write.parquet(f"{self.base}/v{new}/events")
         self._point([*have, new])
         return new
 
     def _point(self, versions: list[int]) -> None:
-        fresh, pointer = self._path(f"{self.base}/CURRENT.new"), self._path(f"{self.base}/CURRENT")
+        """Adds a pointer file, whole at once; the ones before stay, so there is a current version at any moment."""
+        fresh, pointer = (self._path(f"{self.base}/{name}{versions[-1]}") for name in ("_new.", "CURRENT."))
         stream = self._fs.create(fresh, True)
         stream.write(bytearray("\n".join(map(str, versions)).encode()))
         stream.close()
-        self._fs.delete(pointer, False)
-        if not self._fs.rename(fresh, pointer):
+        if self._fs.exists(pointer) or not self._fs.rename(fresh, pointer):
             raise OSError(f"cannot make version {versions[-1]} current")
 
     def add_feedback(self, uid: str, label: str, note: str, at: datetime) -> None:

@@ -12,6 +12,7 @@ from siftline.config import Profiles, Rules
 from siftline.operators.identity import identity
 from siftline.operators.state import upsert
 from siftline.plans.pipeline import evaluate
+from siftline.sources.staging import written
 from siftline.sources.store import Store
 
 
@@ -21,7 +22,8 @@ def start(records: DataFrame, store: Store, rules: Rules, profiles: Profiles, ch
 
     def intake(batch: DataFrame, _: int) -> None:
         arrived = batch.withColumn("seq", F.monotonically_increasing_id())
-        _, state, events = upsert(identity(evaluate(arrived, rules, profiles)), store.state(), datetime.now(timezone.utc))
+        decided = written(identity(evaluate(arrived, rules, profiles)))  # evaluated once for state and events
+        _, state, events = upsert(decided, store.state(), datetime.now(timezone.utc))
         store.commit(state, events)
 
     return records.writeStream.foreachBatch(intake).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

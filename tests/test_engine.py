@@ -44,6 +44,62 @@ def test_run_alert_digest_and_exports(spark, tmp_path):
     assert engine.store.feedback().count() == 1
 
 
+def test_failed_sends_stay_due(spark, tmp_path):
+    """Of three alerts the second fails: two are acknowledged, and only the other is sent by the next run."""
+    rows = records(spark, *[{"title": f"title {k}", "source_job_id": k, "company": k} for k in "abc"])
+    engine = Engine(spark, app(tmp_path / "s"), None)
+    from siftline.operators.identity import identity
+    from siftline.operators.state import upsert
+    from siftline.plans.pipeline import evaluate
+    from siftline.sources.staging import written
+
+    decided = written(identity(evaluate(rows.withColumn("seq", F.monotonically_increasing_id()), RULES, PROFILES)))
+    results, _, events = upsert(decided, engine.store.state(), T0, sends=True)
+    _, state, _ = upsert(decided, engine.store.state(), T0, sends=False)
+    engine.store.commit(state, events)
+    alerts = written(decided.join(results.where("should_alert"), ["job_uid", "seq"]).select("job_uid", "tier", "seq", reports.instant_alert().alias("message")))
+    said = []
+
+    def send(message):
+        said.append(message)
+        if len(said) == 2:
+            raise OSError("no line")
+        return True
+
+    engine.send = send
+    assert engine._alert(alerts, T0) == 2 and len(said) == 3
+    assert engine.store.state().where("last_alerted_tier = 'A'").count() == 2
+    assert engine.store.events().where("event_type = 'alert_sent'").count() == 2
+    results, _, _ = upsert(decided, engine.store.state(), T0, sends=True)
+    assert results.where("should_alert").count() == 1
+
+
+def test_a_run_that_dies_before_its_pointer_leaves_no_trace(spark, tmp_path, monkeypatch):
+    import pytest
+
+    store = Store(spark, str(tmp_path / "s"))
+    state, events = store.state(), store.events()
+    assert store.commit(state, events) == 1
+
+    def dies(self, versions):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_point", dies)
+        with pytest.raises(OSError):
+            store.commit(state, events)
+    assert store.versions() == [1] and store.commit(state, events) == 3 and store.versions() == [1, 3]
+
+
+def test_all_sources_failing_fails_the_run(spark, tmp_path):
+    import pytest
+    from dataclasses import replace
+
+    broken = replace(app(tmp_path / "s"), sources=[Source("broken", "html", True, {"url": "x"})])
+    with pytest.raises(RuntimeError, match="broken"):
+        Engine(spark, broken, None).run(T0)
+
+
 def test_without_sender_a_rows_stay_due(spark, tmp_path):
     pages = landed(spark.createDataFrame([("https://e.org/c", CARDS)], "url string, html string"))
     engine = Engine(spark, app(tmp_path / "s"), pages)
