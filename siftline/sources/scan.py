@@ -11,8 +11,10 @@ from typing import Any
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from siftline.config import Source, read_yaml
 from siftline.schema import RECORD
@@ -104,18 +106,29 @@ def cards(url: str, html: str | None, params: dict[str, Any]) -> Iterator[dict[s
         }
 
 
+#: Records to an Arrow batch.
+BATCH_RECORDS = 1000
+
+
 def _records(pages: DataFrame, name: str, run_ts: datetime, read: Callable[[str, str | None], Iterator[dict]]) -> DataFrame:
-    """The records of (url, html) pages, in Arrow batches of pages."""
+    """The records of (url, html) pages, in Arrow batches of records."""
     columns = [f.name for f in RECORD.fields if f.name not in ("source", "posted_at", "status")]
     schema = ", ".join(f"{f.name} {'array<struct<k:string,v:string>>' if f.name == 'source_metadata' else f.dataType.simpleString()}" for f in RECORD.fields if f.name in columns)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for url, html in zip(frame["url"], frame["html"], strict=True):
-                found = [r | {"source_metadata": [{"k": k, "v": v} for k, v in r["source_metadata"]]} for r in read(url or "", html)]
-                yield pd.DataFrame(found, columns=columns, dtype=object)
+    arrow = to_arrow_schema(pages.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[dict] = []
+            for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found += [r | {"source_metadata": [{"k": k, "v": v} for k, v in r["source_metadata"]]} for r in read(url or "", html)]
+                if len(found) >= BATCH_RECORDS:
+                    yield pa.RecordBatch.from_pylist(found, schema=arrow)
+                    found = []
+            if found:
+                yield pa.RecordBatch.from_pylist(found, schema=arrow)
 
-    out = pages.select("url", "html").mapInPandas(run, schema)
+    out = pages.select("url", "html").mapInArrow(run, schema)
     out = out.withColumn("source_metadata", F.map_from_entries("source_metadata"))
     return out.select(*[{"source": F.lit(name), "posted_at": F.lit(run_ts).cast("timestamp"), "status": F.lit("open")}.get(f.name, F.col(f.name)).alias(f.name) for f in RECORD.fields])
 
