@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences: each stage applies one operator to all that its predecessor kept."""
+"""From raw documents to packed training sequences: each stage applies one operator to all that its predecessor kept.
+
+Defined cases: null and empty texts are clean, are near copies of each other (one row of them stays), have nothing to
+remove, are never taken by the mix and so do not reach the packing. Null ids go through like others; where copies are
+to choose from, a null id stays only if there is no other. Equal rows are copies. Texts of any length are taken whole.
+Columns beside those of documents are carried up to the last stage, whatever their names. Empty tables stay empty.
+"""
 
 from __future__ import annotations
 
@@ -21,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of strings that repeat; n_chars is counted anew."""
+    """Texts without the strings of over 50 words that repeat anywhere; n_chars is counted anew."""
     bounded_batches(spark)
     return op9_suffix.shortened(docs)
 
