@@ -41,12 +41,20 @@ def compact(c: Column) -> Column:
 URL_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
-def canonical_url(c: Column) -> Column:
-    """Scheme and host in lower case; no trailing slashes, parameters, fragment, utm_ keys or blank values; values decoded."""
-    # line breaks and tabs never count in a URL, other whitespace only inside
-    url = F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), f"^{WHITESPACE}|{WHITESPACE}$", ""), "\t\r\n", "")
+def url_text(c: Column) -> Column:
+    """What counts of a URL's text: no line breaks and tabs, other whitespace only inside."""
+    return F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), f"^{WHITESPACE}|{WHITESPACE}$", ""), "\t\r\n", "")
+
+
+def url_parts(url: Column) -> Column:
+    """A struct of the scheme and host in lower case, the path and the query."""
     part = lambda k: F.regexp_extract(url, URL_PARTS, k)
-    scheme, host, path, query = F.lower(part(1)), F.lower(part(2)), part(3), part(4)
+    return F.struct(F.lower(part(1)).alias("scheme"), F.lower(part(2)).alias("host"), part(3).alias("path"), part(4).alias("query"))
+
+
+def canonical_parts(parts: Column) -> Column:
+    """The canonical URL of ``url_parts``: no trailing slashes, parameters, utm_ keys or blank values; values decoded."""
+    scheme, host, path, query = (parts[c] for c in ("scheme", "host", "path", "query"))
     path = F.when(scheme.isin("", "http", "https", "ftp"), F.regexp_replace(path, r";[^/]*$", "")).otherwise(path)
     path = F.regexp_replace(path, "/+$", "")
     pairs = F.transform(
@@ -59,6 +67,14 @@ def canonical_url(c: Column) -> Column:
     return F.concat(out, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
+def canonical_url(c: Column) -> Column:
+    """Scheme and host in lower case; no trailing slashes, parameters, fragment, utm_ keys or blank values; values decoded.
+
+    Where several are needed, take the steps as columns, one after the other, so that none is computed twice.
+    """
+    return canonical_parts(url_parts(url_text(c)))
+
+
 def decoded(c: Column) -> Column:
     """Percent-decoded, + as a space; text with a malformed escape stays as it is but for +."""
     return F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.text import canonical_url, normalize, or_else, stable_hash
+from siftline.functions.text import canonical_parts, normalize, or_else, stable_hash, url_parts, url_text
 
 PREFIX = 800
 
@@ -24,8 +24,11 @@ def content_keys(records: DataFrame) -> DataFrame:
 
 def identified(keyed: DataFrame) -> DataFrame:
     """Rows of ``content_keys`` with apply_url and original_url, plus job_uid."""
-    by_url = or_else(canonical_url(or_else(F.col("apply_url"), F.col("original_url"))), canonical_url(F.col("original_url")))
-    return keyed.withColumn("job_uid", stable_hash(or_else(F.col("_by_id"), by_url, F.col("fingerprint")))).drop("_by_id")
+    first = or_else(F.col("apply_url"), F.col("original_url"))
+    out = keyed.withColumns({"_first": url_text(first), "_second": url_text(F.col("original_url"))})
+    for step in (url_parts, canonical_parts):
+        out = out.withColumns({c: step(F.col(c)) for c in ("_first", "_second")})
+    return out.withColumn("job_uid", stable_hash(or_else(*map(F.col, ("_by_id", "_first", "_second", "fingerprint"))))).drop("_by_id", "_first", "_second")
 
 
 def identity(records: DataFrame) -> DataFrame:

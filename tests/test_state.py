@@ -92,3 +92,8 @@ def test_transitions_take_one_exchange(spark):
     frame = incoming(spark, [("a", "1", "A")]).withColumn("last_alerted_tier", F.lit(None).cast("string"))
     plan = transitions(frame)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 1
+
+
+def test_urls_are_cut_once(spark):
+    plan = identity(records(spark, {"original_url": "https://e.com/1"}))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 20
