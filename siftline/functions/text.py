@@ -109,6 +109,24 @@ def html_escape(c: Column) -> Column:
     return c
 
 
+def rounded(c: Column) -> Column:
+    """round(x, 2) of the exact binary value, half to even; SQL's round takes 2.675 for a tie, which it is not.
+
+    200 x is split into two exact products (Veltkamp), so its distance to the odd number between two hundredths is exact.
+    """
+    below = F.floor(c * 100).cast("double")
+    scaled = c * 134217729.0
+    high = scaled - (scaled - c)
+    over = (high * 200 - (below * 2 + 1)) + (c - high) * 200
+    up = (over > 0) | ((over == 0) & (below % 2 != 0))
+    return (below + up.cast("double")) / 100
+
+
+def two_decimals(c: Column) -> Column:
+    """x with two decimals as text, rounded like ``rounded``."""
+    return F.format_string("%.2f", rounded(c))
+
+
 def or_else(*columns: Column) -> Column:
     """The first that is neither null nor ''; if none, the last."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns[:-1]], columns[-1])

@@ -76,7 +76,7 @@ def sorted_set(c: Column) -> Column:
 
 
 def decided(records: DataFrame) -> DataFrame:
-    """Records with hits, plus decision, bridge_role, fit_reason, signals, risks and audit log; the hits are dropped."""
+    """Records with hits, plus decision, bridge_role, fit_reason, signals, risks, audit log, and a provisional tier and bucket; the hits are dropped."""
     found = records.select(
         "*",
         F.concat(*[F.col(f"h_{k}") for k in BLOCKING]).alias("_blockers"),
@@ -100,6 +100,8 @@ def decided(records: DataFrame) -> DataFrame:
         sorted_set(F.col("_blockers")).alias("detected_blockers"),
         sorted_set(F.col("_risks")).alias("risks"),
         F.array_compact(F.array(*because)).alias("audit_log"),
+        F.when(F.col("filter_decision") == "reject", "C").otherwise("B").alias("provisional_tier"),
+        F.when(F.col("filter_decision") == "reject", "Bucket C").otherwise("Bucket B").alias("provisional_bucket"),
     )
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.config import Profiles
-from siftline.functions.text import any_hit, normalize_literal
+from siftline.functions.text import any_hit, normalize_literal, two_decimals
 from siftline.operators.rules import is_listed
 
 SKIPPED = "Scoring skipped because job was hard rejected."
@@ -47,7 +47,7 @@ def score(records: DataFrame, profiles: Profiles) -> DataFrame:
     full = F.when(rejected, 0.0).when(decision == "review", F.greatest(total - 3.0, F.lit(0.0))).otherwise(total)
     out = records.withColumn("fit_score", full)
     added = F.concat(title_labels, description_labels, F.when(priority, F.array(F.concat(F.lit("company_priority:"), F.col("company")))).otherwise(F.array().cast("array<string>")))
-    line = F.when(rejected, F.lit(SKIPPED)).otherwise(F.format_string("Deterministic score computed as %.2f.", F.col("fit_score")))
+    line = F.when(rejected, F.lit(SKIPPED)).otherwise(F.concat(F.lit("Deterministic score computed as "), two_decimals(F.col("fit_score")), F.lit(".")))
     tier = F.when(rejected, "C").when((F.col("fit_score") >= profiles.threshold_a) & (decision == "pass"), "A").otherwise("B")
     return out.withColumns(
         {
@@ -82,7 +82,7 @@ def merge_answers(records: DataFrame, answer: Column) -> DataFrame:
     points = F.coalesce(F.col("_answer.semantic_score"), F.lit(0.0))
     said = F.trim(F.coalesce(F.col("_answer.fit_reason"), F.lit("")))
     none = F.array().cast("array<string>")
-    line = F.when(~passed, F.lit("Semantic rerank not allowed for non-passing job.")).when(got, F.format_string("Semantic rerank added %.2f points.", points)).otherwise(F.lit("Semantic rerank skipped."))
+    line = F.when(~passed, F.lit("Semantic rerank not allowed for non-passing job.")).when(got, F.concat(F.lit("Semantic rerank added "), two_decimals(points), F.lit(" points."))).otherwise(F.lit("Semantic rerank skipped."))
     return a.withColumns(
         {
             "semantic_score": F.when(got, points),
@@ -106,19 +106,21 @@ def prompt_column(template: str, max_chars: int) -> Column:
 
 
 def rerank(records: DataFrame, ask: Callable[[pd.Series], pd.Series], *, template: str, max_chars: int = 6000) -> DataFrame:
-    """Asks about passed records only, in Arrow batches; ask maps prompts to strict JSON. Malformed JSON ends the run."""
-    schema = records.schema.add("_said", "string")
-    passed = records.where("filter_decision = 'pass'").withColumn("_said", prompt_column(template, max_chars))
-    columns = passed.columns
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(_said=ask(frame["_said"]))[columns]
-
-    answered = passed.mapInPandas(run, schema)
-    others = records.where("filter_decision <> 'pass'").withColumn("_said", F.lit(None).cast("string"))
-    both = answered.unionByName(others)
-    return merge_answers(both, F.from_json("_said", ANSWER, {"mode": "FAILFAST"})).drop("_said")
+    """Asks about passed records only, in Arrow batches of prompts: other columns stay where they are, and rules run once.
+
+    ask maps prompts to strict JSON. Malformed JSON ends the run.
+    """
+
+    def answers(prompts: pd.Series) -> pd.Series:
+        asked = prompts[prompts.notna()]
+        said = pd.Series(list(ask(asked)), index=asked.index, dtype=object) if len(asked) else asked.astype(object)
+        return said.reindex(prompts.index).where(prompts.notna(), None)
+
+    # not deterministic: the optimiser may neither repeat a question nor move a filter below it
+    model = F.pandas_udf(answers, "string").asNondeterministic()
+    prompt = F.when(F.col("filter_decision") == "pass", prompt_column(template, max_chars))
+    asked = records.withColumn("_prompt", prompt).withColumn("_said", model("_prompt")).drop("_prompt")
+    return merge_answers(asked, F.from_json("_said", ANSWER, {"mode": "FAILFAST"})).drop("_said")
 
 
 def final_tier(records: DataFrame, profiles: Profiles) -> DataFrame:

@@ -23,6 +23,8 @@ from siftline.sources.staging import written
 from siftline.sources.store import Store
 
 log = logging.getLogger(__name__)
+#: Rows are numbered by source, then by partition (up to 2**20 of them) and place in it, in 63 bits.
+MAX_SOURCES, SOURCE_ROWS = 2**10, 2**53
 Send = Callable[[str], bool]
 Ask = Callable[[pd.Series], pd.Series]
 
@@ -71,8 +73,8 @@ def model_asker(app: App, *, url: str = "https://api.openai.com/v1/responses", t
 class Engine:
     """The five commands over one store."""
 
-    def __init__(self, spark: SparkSession, app: App, pages: Pages, *, send: Send | None = None, ask: Ask | None = None) -> None:
-        self.spark, self.app, self.pages = spark, app, pages
+    def __init__(self, spark: SparkSession, app: App, pages: Pages, *, send: Send | None = None, ask: Ask | None = None, identify: Callable[[DataFrame], DataFrame] = identity) -> None:
+        self.spark, self.app, self.pages, self.identify = spark, app, pages, identify
         self.ask = ask or (model_asker(app) if app.rerank.enabled else None)
         self.send = send or chat_sender(app)
         self.store = Store(spark, app.store)
@@ -89,13 +91,14 @@ class Engine:
         """One intake. A source that fails is reported and left out, and if all fail so does the run; alerts go out after the commit and are then acknowledged."""
         now = now or datetime.now(timezone.utc)
         parts, failed = [], []
-        for source in self.app.sources:
-            if not source.enabled:
-                continue
+        enabled = [s for s in self.app.sources if s.enabled]
+        if len(enabled) > MAX_SOURCES:
+            raise ValueError(f"{len(enabled)} sources, at most {MAX_SOURCES}")
+        for k, source in enumerate(enabled):
             try:
-                found = records_of(self.spark, source, self.pages, now).persist()
-                found.count()  # a fetch that fails does so here, and takes only its source along
-                parts.append(found)
+                # written: a fetch that fails does so here and takes only its source along, and none is fetched twice
+                numbered = records_of(self.spark, source, self.pages, now).withColumn("seq", F.lit(k * SOURCE_ROWS) + F.monotonically_increasing_id())
+                parts.append(written(numbered))
             except Exception:
                 log.exception("source %s failed", source.name)
                 failed.append(source.name)
@@ -103,9 +106,8 @@ class Engine:
             raise RuntimeError(f"no source could be read: {', '.join(failed)}")
         if not parts:
             return {"ingested": 0, "persisted": 0, "alerts": 0}
-        arrived = union(parts).withColumn("seq", F.monotonically_increasing_id())
         # evaluated once: results, state, events and alerts all read the same rows
-        decided = written(identity(evaluate(arrived, self.app.rules, self.app.profiles, self._reranked)))
+        decided = written(self.identify(evaluate(union(parts), self.app.rules, self.app.profiles, self._reranked)))
         sends = self.send is not None and self.app.chat.instant_a_tier
         stored = self.store.state()
         results, _, events = upsert(decided, stored, now, sends=sends)
@@ -117,8 +119,6 @@ class Engine:
             alerts = written(decided.join(due, ["job_uid", "seq"]).select("job_uid", "tier", "seq", reports.instant_alert().alias("message")))
         self.store.commit(state, events)
         sent = self._alert(alerts, now) if alerts is not None else 0
-        for p in parts:
-            p.unpersist()
         return {"ingested": ingested, "persisted": ingested, "alerts": sent}
 
     def _alert(self, alerts: DataFrame, now: datetime) -> int:

@@ -13,14 +13,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.config import Profiles, Rules, Source
-from siftline.functions.text import any_hit, canonical_url, compact, normalize, phrase_hits, stable_hash
+from siftline.functions.text import any_hit, canonical_url, compact, normalize, phrase_hits, rounded, stable_hash, two_decimals
 from siftline.operators import rules as R
 from siftline.operators import scoring as S
 from siftline.operators import state as ST
 from siftline.operators.identity import content_keys, identified
 from siftline.plans import reports
-from siftline.sources.scan import scan_cards, scan_headings
-from siftline.sources.staging import written
+from siftline.schema import STATE
+from siftline.sources.scan import landed, scan_cards, scan_headings, scan_watchlist
+from siftline.sources.staging import shared_dir, written
+from siftline.sources.store import Store
 
 RULES = Rules(
     positive_title_signals=["tion", "with", "was"],
@@ -51,6 +53,16 @@ PHRASES = ["tion", "attion", "was the", "heing", "oredble", "ontion the", "and t
 DIGEST_SINCE = "2024-01-01 01:00:00"
 SPLIT = "2024-01-16 00:00:00"
 RUN_TS = datetime(2024, 1, 31)
+DIGEST_NOW = datetime(2024, 1, 2, 6)
+PROMPT = "{title} | {company} | {location} | {remote_text} | {employment_type} | {timezone_text} | {description}"
+PROMPT_CHARS = 600
+#: A watchlist as its file holds it: two companies on one page, one without a bucket, one that is off.
+WATCHED = [
+    {"name": "North", "careers_url": "https://careers.example.org/1", "bucket": "top", "listing_selector": "div.job", "title_selector": "a", "description_selector": "p", "location_selector": "span.place", "job_id_attribute": "data-key"},
+    {"name": "South", "careers_url": "https://careers.example.org/1", "listing_selector": "div.job", "title_selector": "a", "company_selector": "b", "apply_selector": "a.apply"},
+    {"name": "East", "careers_url": "https://careers.example.org/2", "listing_selector": "div.job", "title_selector": "a", "salary_selector": "i"},
+    {"name": "West", "careers_url": "https://careers.example.org/3", "enabled": False, "listing_selector": "div.job", "title_selector": "a"},
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -265,6 +277,109 @@ def html_heading_blocks(spark, sf_dir):
     return r.select("title", "original_url", "source_job_id", "company", "remote_text", F.col("source_metadata")["listing_url"].alias("listing_url"))
 
 
+def provisional_tiers(spark, sf_dir):
+    return R.apply_rules(document_records(spark, sf_dir), RULES).groupBy("filter_decision", "provisional_tier", "provisional_bucket").agg(F.count("*").alias("n"))
+
+
+def rounded_scores(spark, sf_dir):
+    """Two decimals as the audit and the review page print them, with ties (eighths) and values next to ties."""
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 8).alias("eighth"), (F.col("l_extendedprice") * F.col("l_discount")).alias("cut"))
+    return x.select("l_orderkey", "l_linenumber", *[f(F.col(c)).alias(f"{c}_{k}") for c in ("eighth", "cut") for k, f in (("text", two_decimals), ("value", rounded))])
+
+
+def recent_tier(spark, sf_dir):
+    return reports.recent(dated(spark, sf_dir), reports.HTML_ROWS, "B").select("job_uid", "tier", "fit_score")
+
+
+def digest_message(spark, sf_dir):
+    return reports.digest_text(dated(spark, sf_dir), F.lit(DIGEST_NOW.isoformat(" ")).cast("timestamp") - F.make_interval(hours=F.lit(reports.DIGEST_HOURS)))
+
+
+def rerank_gates(spark, sf_dir):
+    """What the audit says where the rerank is off and where its key is missing."""
+    s = S.score(R.apply_rules(document_records(spark, sf_dir), RULES), PROFILES)
+    both = [f(s).select("filter_decision", F.lit(k).alias("stage"), F.element_at("audit_log", -1).alias("line")) for k, f in (("off", S.skip_rerank), ("no_key", S.without_key))]
+    return both[0].unionByName(both[1]).groupBy("stage", "filter_decision", "line").agg(F.count("*").alias("n"))
+
+
+def scripted_answers(prompts):
+    """A model's stand-in: strict JSON that follows from the prompt's length."""
+    return prompts.map(lambda p: '{"semantic_score": %s, "bridge_role": %s, "fit_reason": "%s", "risks": ["r%d", "a"]}' % (len(p) % 9 - 2.5, str(len(p) % 2 == 0).lower(), " " if len(p) % 3 == 0 else f"prompt of {len(p)}", len(p) % 5))
+
+
+def model_rerank(spark, sf_dir):
+    s = S.score(R.apply_rules(document_records(spark, sf_dir), RULES), PROFILES)
+    r = S.final_tier(S.rerank(s, scripted_answers, template=PROMPT, max_chars=PROMPT_CHARS), PROFILES)
+    return r.select("doc_id", "fit_score", "semantic_score", "bridge_role", "fit_reason", joined("risks"), "tier", F.element_at("audit_log", -1).alias("rerank_line"))
+
+
+def listing_pages(spark, sf_dir):
+    """A listing page for each part: a heading with its block, then one without a link, whose block is nobody's."""
+    k = F.col("p_partkey")
+    text = lambda x: F.lit(x)
+    place = F.element_at(F.array(*map(text, ["Remote, United States", "LATIN AMERICA or Europe", "Berlin", "worldwide", "Panama  City"])), (k % 5 + 1).cast("int"))
+    money = F.when(k % 3 != 0, F.concat(text("<div>$"), F.col("p_size").cast("string"), text("k - $"), (F.col("p_size") + 10).cast("string"), text("k US$ a year, $1 $2</div>"))).otherwise("")
+    about = F.when(k % 4 != 0, F.concat(text("<p>About the\n  "), F.col("p_type"), text(" role</p><p>More</p>"))).otherwise("")
+    button = F.when(k % 2 == 0, F.concat(text('<a href="apply/'), k.cast("string"), text('">Apply  now</a>'))).otherwise(text('<a href="/apply">Details</a>'))
+    hours = F.when(F.col("p_size") % 2 == 0, "FULL  time").otherwise("Part time")
+    named = F.when(k % 7 != 0, F.concat(F.col("p_brand"), text(" &amp; Co · "))).otherwise("")
+    html = F.concat(
+        text('<html><body><h2><a href="/job/'), k.cast("string"), text('"> '), F.col("p_name"), text("\n role </a></h2><div>"), named, place, text("</div>"),
+        money, text("<span>"), hours, text("</span>"), about, button, text("<h2>Advert</h2><p>$99 worldwide full time</p></body></html>"),
+    )
+    return table(spark, sf_dir, "part").select(F.concat(text("https://list.example.org/p/"), k.cast("string"), text("/")).alias("url"), html.alias("html"))
+
+
+def listing_blocks(spark, sf_dir):
+    r = scan_headings(listing_pages(spark, sf_dir), Source("list", "dailyremote"), RUN_TS)
+    return r.select("source", "company", "title", "original_url", "apply_url", "source_job_id", "location_text", "remote_text", "employment_type", "salary_text", "description_clean", "status")
+
+
+def careers_pages(spark, sf_dir):
+    """A landed careers page for each customer, under the address of the nation: an address may be landed many times."""
+    key, name = F.col("c_custkey").cast("string"), F.col("c_name")
+    t = F.lit
+    card = F.concat(t('<div class="job" data-key="k'), key, t('"><a href="/j/'), key, t('">'), name, t("</a><b>"), name, t(' Inc</b><span class="place"> Site  '), key, t("</span><i>$"), key, t("</i><p>Work at "), name, t('</p><a class="apply" href="/a/'), key, t('">go</a></div>'))
+    return table(spark, sf_dir, "customer").select(F.concat(t("https://careers.example.org/"), F.col("c_nationkey").cast("string")).alias("url"), card.alias("html"))
+
+
+def watchlist_scan(spark, sf_dir):
+    r = scan_watchlist(landed(careers_pages(spark, sf_dir)), Source("watch", "watchlist"), WATCHED, RUN_TS)
+    return r.select("source", "company", "title", "original_url", "apply_url", "source_job_id", "location_text", "salary_text", "description_clean", F.col("source_metadata")["watchlist_bucket"].alias("bucket"))
+
+
+def stored_runs(spark, sf_dir):
+    """A store after two runs over the events, one before the split and one after it, with alerts sent."""
+    rows = event_rows(spark, sf_dir)
+    given = {"job_uid", "content_hash", "tier"}
+    filled = rows.withColumn("source_job_id", F.col("event_id").cast("string"))
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in STATE.fields if f.name not in given | {"source_job_id"}]
+    store, split = Store(spark, shared_dir(spark)), F.to_timestamp_ntz(F.lit(SPLIT))
+    for at, part in ((datetime(2024, 1, 16), F.col("ts") < split), (RUN_TS, F.col("ts") >= split)):
+        batch = filled.where(part).select("job_uid", "content_hash", "tier", "source_job_id", "seq", *blank)
+        results, state, events = ST.upsert(batch, store.state(), at, sends=True)
+        due = results.where("should_alert").select("job_uid", F.lit("A").alias("tier"), F.concat(F.lit("alert "), F.col("job_uid")).alias("message"))
+        store.commit(state, events.unionByName(ST.acknowledged(due, at, "log")))
+    return store
+
+
+def store_state(spark, sf_dir):
+    again = F.col("first_seen_at") < F.col("last_seen_at")
+    return stored_runs(spark, sf_dir).state().select("job_uid", F.col("source_job_id").alias("event_id"), "content_hash", "tier", "last_alerted_tier", again.alias("seen_in_both"))
+
+
+def store_events(spark, sf_dir):
+    return stored_runs(spark, sf_dir).events().select("job_uid", "event_type", "payload.*").groupBy("job_uid", "event_type", "tier", "previous_tier", "new_tier", "changed", "channel", "message").agg(F.count("*").alias("n"))
+
+
+def store_feedback(spark, sf_dir):
+    """Two appends of labels, read back; nothing asks whether an id is stored."""
+    store, labels = Store(spark, shared_dir(spark)), table(spark, sf_dir, "labels")
+    for label in ("quality", "toxic"):
+        store.add_labels(labels.select(F.col("doc_id").cast("string").alias("job_uid"), F.concat(F.lit(f"{label}:"), F.col(label).cast("string")).alias("label"), F.lit("").alias("note"), F.lit(RUN_TS).alias("created_at")))
+    return store.feedback().select("job_uid", "label", "note")
+
+
 # ---- SQL ----
 
 PH = "[" + ", ".join(f"'{p}'" for p in PHRASES) + "]"
@@ -427,7 +542,55 @@ def _summary_of(x: str) -> str:
     return TEXT.format(x)
 
 
+#: The prompt's length; fields that a document has no value for are ''.
+ASKED = f"length(concat_ws(' | ', title, company, lang, '', '', '', left(text, {PROMPT_CHARS})))"
+PLACED = "['Remote, United States', 'LATIN AMERICA or Europe', 'Berlin', 'worldwide', 'Panama City'][p_partkey % 5 + 1]"
+NAMED = "CASE WHEN p_partkey % 7 <> 0 THEN p_brand || ' & Co · ' ELSE '' END"
+PAID = "CASE WHEN p_partkey % 3 <> 0 THEN '$' || p_size || 'k - $' || (p_size + 10) || 'k US$ a year, $1 $2 ' ELSE '' END"
+WORKED = "CASE WHEN p_size % 2 = 0 THEN 'FULL time' ELSE 'Part time' END"
+WATCHED_CARD = "'https://careers.example.org/j/' || c_custkey"
+
 SQL: dict[str, str] = {
+    "provisional_tiers": f"""WITH {HITS} SELECT decision AS filter_decision, CASE WHEN decision = 'reject' THEN 'C' ELSE 'B' END AS provisional_tier,
+      CASE WHEN decision = 'reject' THEN 'Bucket C' ELSE 'Bucket B' END AS provisional_bucket, count(*) AS n FROM dec GROUP BY 1, 2, 3""",
+    "rounded_scores": """SELECT l_orderkey, l_linenumber, printf('%.2f', eighth) AS eighth_text, CAST(printf('%.2f', eighth) AS DOUBLE) AS eighth_value,
+      printf('%.2f', cut) AS cut_text, CAST(printf('%.2f', cut) AS DOUBLE) AS cut_value FROM (
+        SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) / 8 AS eighth, CAST(l_extendedprice AS DOUBLE) * CAST(l_discount AS DOUBLE) AS cut FROM lineitem)""",
+    "recent_tier": f"WITH {DATED} SELECT job_uid, tier, fit_score FROM dated WHERE tier = 'B' ORDER BY updated_at DESC, job_uid LIMIT 100",
+    "digest_message": f"""WITH {DATED}, fresh AS (SELECT tier, {LINE} AS line, row_number() OVER (PARTITION BY tier ORDER BY fit_score DESC, job_uid) AS rank,
+      count(*) OVER (PARTITION BY tier) AS n FROM dated WHERE tier IN ('A', 'B') AND last_seen_at >= TIMESTAMP '{DIGEST_NOW.isoformat(" ")}' - INTERVAL 24 HOUR),
+      section AS (SELECT tier, tier || '-tier roles (' || max(n) || ')' || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS s FROM fresh WHERE rank <= 10 GROUP BY tier)
+      SELECT '{reports.DIGEST_TITLE}' || chr(10) || chr(10) || coalesce(string_agg(s, chr(10) || chr(10) ORDER BY tier), '{reports.EMPTY_DIGEST}') AS text FROM section""",
+    "rerank_gates": f"""WITH {HITS} SELECT stage, decision AS filter_decision, CASE WHEN stage = 'off' THEN 'Semantic rerank skipped.' WHEN decision = 'pass'
+      THEN 'Semantic rerank skipped because API key is missing.' ELSE 'Semantic rerank not allowed for non-passing job.' END AS line, count(*) AS n
+      FROM dec, (VALUES ('off'), ('no_key')) v(stage) GROUP BY 1, 2, 3""",
+    "model_rerank": f"""WITH {SCORED}, asked AS (SELECT *, CASE WHEN decision = 'pass' THEN {ASKED} END AS a FROM scored), r AS (SELECT * REPLACE (
+      fit_score + coalesce(a % 9 - CAST(2.5 AS DOUBLE), 0) AS fit_score, bridge_role OR coalesce(a % 2 = 0, false) AS bridge_role,
+      CASE WHEN a % 3 <> 0 THEN 'prompt of ' || a ELSE fit_reason END AS fit_reason,
+      CASE WHEN a IS NOT NULL THEN {_sorted("list_concat(rs, ['r' || (a % 5), 'a'])")} ELSE rs END AS rs), a % 9 - CAST(2.5 AS DOUBLE) AS semantic_score FROM asked)
+      SELECT doc_id, fit_score, semantic_score, bridge_role, fit_reason, {_summary_of('rs')} AS risks, {TIER} AS tier,
+      CASE WHEN a IS NULL THEN 'Semantic rerank not allowed for non-passing job.' ELSE 'Semantic rerank added ' || printf('%.2f', semantic_score) || ' points.' END AS rerank_line FROM r""",
+    "listing_blocks": f"""SELECT 'list' AS source, CASE WHEN p_partkey % 7 <> 0 THEN p_brand || ' & Co' ELSE 'Unknown' END AS company, p_name || ' role' AS title,
+      'https://list.example.org/job/' || p_partkey AS original_url,
+      CASE WHEN p_partkey % 2 = 0 THEN 'https://list.example.org/p/' || p_partkey || '/apply/' || p_partkey ELSE 'https://list.example.org/job/' || p_partkey END AS apply_url,
+      '/job/' || p_partkey AS source_job_id, ['United States', 'Europe', NULL, 'Worldwide', 'Panama'][p_partkey % 5 + 1] AS location_text, 'Remote' AS remote_text,
+      CASE WHEN p_size % 2 = 0 THEN 'Full Time' END AS employment_type, CASE WHEN p_partkey % 3 <> 0 THEN '$' || p_size || 'k $' || (p_size + 10) || 'k US$ $1' END AS salary_text,
+      CASE WHEN p_partkey % 4 <> 0 THEN 'About the ' || p_type || ' role'
+           ELSE {NAMED} || {PLACED} || ' ' || {PAID} || {WORKED} || CASE WHEN p_partkey % 2 = 0 THEN ' Apply now' ELSE ' Details' END END AS description_clean, 'open' AS status FROM part""",
+    "watchlist_scan": f"""SELECT 'watch:North' AS source, 'North' AS company, c_name AS title, {WATCHED_CARD} AS original_url, {WATCHED_CARD} AS apply_url, 'k' || c_custkey AS source_job_id,
+      'Site ' || c_custkey AS location_text, NULL AS salary_text, 'Work at ' || c_name AS description_clean, 'top' AS bucket FROM customer WHERE c_nationkey = 1
+      UNION ALL SELECT 'watch:South', 'South', c_name, {WATCHED_CARD}, 'https://careers.example.org/a/' || c_custkey, NULL, NULL, NULL, '', 'core' FROM customer WHERE c_nationkey = 1
+      UNION ALL SELECT 'watch:East', 'East', c_name, {WATCHED_CARD}, {WATCHED_CARD}, NULL, NULL, '$' || c_custkey, '', 'core' FROM customer WHERE c_nationkey = 2""",
+    "store_state": f"""WITH {EVENTS} SELECT job_uid, CAST(max_by(event_id, seq) AS VARCHAR) AS event_id, max_by(h, seq) AS content_hash, max_by(tier, seq) AS tier,
+      max(CASE WHEN should_alert THEN 'A' END) AS last_alerted_tier, min(ts) < TIMESTAMP '{SPLIT}' AND max(ts) >= TIMESTAMP '{SPLIT}' AS seen_in_both FROM trans GROUP BY 1""",
+    "store_events": f"""WITH {EVENTS}, log AS (
+      SELECT job_uid, event AS event_type, CASE WHEN event = 'created' THEN tier END AS tier, CASE WHEN event = 'updated' THEN pt END AS previous_tier,
+        CASE WHEN event = 'updated' THEN tier END AS new_tier, CASE WHEN event = 'updated' THEN changed END AS changed, NULL::VARCHAR AS channel, NULL::VARCHAR AS message
+      FROM trans WHERE event IS NOT NULL
+      UNION ALL SELECT job_uid, 'alert_sent', 'A', NULL, NULL, NULL, 'log', 'alert ' || job_uid FROM trans WHERE should_alert)
+      SELECT *, count(*) AS n FROM log GROUP BY ALL""",
+    "store_feedback": """SELECT CAST(doc_id AS VARCHAR) AS job_uid, 'quality:' || quality AS label, '' AS note FROM labels
+      UNION ALL SELECT CAST(doc_id AS VARCHAR), 'toxic:' || toxic, '' FROM labels""",
     "normalize_documents": f"SELECT doc_id, sha256(n) AS normal_hash, length(n) AS normal_chars FROM (SELECT doc_id, {norm('text')} AS n FROM documents)",
     "compact_documents": f"""SELECT kind, id, sha256(c) AS compact_hash, length(c) AS compact_chars FROM (
       SELECT kind, id, trim(regexp_replace(text, '{SPACES}', ' ', 'g')) AS c FROM (

@@ -111,8 +111,8 @@ BATCH_RECORDS = 1000
 
 
 def _records(pages: DataFrame, name: str, run_ts: datetime, read: Callable[[str, str | None], Iterator[dict]]) -> DataFrame:
-    """The records of (url, html) pages, in Arrow batches of records."""
-    columns = [f.name for f in RECORD.fields if f.name not in ("source", "posted_at", "status")]
+    """The records of (url, html) pages, in Arrow batches of records; a record may name a source of its own."""
+    columns = [f.name for f in RECORD.fields if f.name not in ("posted_at", "status")]
     schema = ", ".join(f"{f.name} {'array<struct<k:string,v:string>>' if f.name == 'source_metadata' else f.dataType.simpleString()}" for f in RECORD.fields if f.name in columns)
 
     arrow = to_arrow_schema(pages.sparkSession.createDataFrame([], schema).schema)
@@ -121,7 +121,7 @@ def _records(pages: DataFrame, name: str, run_ts: datetime, read: Callable[[str,
         for batch in batches:
             found: list[dict] = []
             for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found += [r | {"source_metadata": [{"k": k, "v": v} for k, v in r["source_metadata"]]} for r in read(url or "", html)]
+                found += [{"source": name} | r | {"source_metadata": [{"k": k, "v": v} for k, v in r["source_metadata"]]} for r in read(url or "", html)]
                 if len(found) >= BATCH_RECORDS:
                     yield pa.RecordBatch.from_pylist(found, schema=arrow)
                     found = []
@@ -130,7 +130,7 @@ def _records(pages: DataFrame, name: str, run_ts: datetime, read: Callable[[str,
 
     out = pages.select("url", "html").mapInArrow(run, schema)
     out = out.withColumn("source_metadata", F.map_from_entries("source_metadata"))
-    return out.select(*[{"source": F.lit(name), "posted_at": F.lit(run_ts).cast("timestamp"), "status": F.lit("open")}.get(f.name, F.col(f.name)).alias(f.name) for f in RECORD.fields])
+    return out.select(*[{"posted_at": F.lit(run_ts).cast("timestamp"), "status": F.lit("open")}.get(f.name, F.col(f.name)).alias(f.name) for f in RECORD.fields])
 
 
 def scan_headings(pages: DataFrame, source: Source, run_ts: datetime) -> DataFrame:
@@ -157,18 +157,30 @@ def read_cards(spark: SparkSession, source: Source, pages: Pages, run_ts: dateti
     return scan_cards(pages([source.params["url"]]), source, run_ts)
 
 
+#: What a company of a watchlist may name of a selector scan's parameters.
+FORWARDED = ("listing_selector", "title_selector", "description_selector", "apply_selector", "location_selector", "salary_selector", "employment_type_selector", "timezone_selector", "job_id_attribute")
+
+
+def scan_watchlist(pages: Pages, source: Source, companies: list[dict[str, Any]], run_ts: datetime) -> DataFrame:
+    """The selector scans of all enabled companies in one pass over their pages; the company's name and bucket replace what a page says."""
+    wanted: dict[str, list[dict[str, Any]]] = {}
+    for item in companies:
+        if item.get("enabled", True):
+            wanted.setdefault(item["careers_url"], []).append(item)
+
+    def read(url: str, html: str | None) -> Iterator[dict[str, Any]]:
+        for item in wanted.get(url, []):
+            params = {k: item[k] for k in FORWARDED if item.get(k)} | {"company_selector": item.get("company_selector") or item["title_selector"]}
+            more = {"source": f"{source.name}:{item['name']}", "company": item["name"]}
+            for found in cards(url, html, params):
+                yield found | more | {"source_metadata": [*found["source_metadata"], ("watchlist_bucket", str(item.get("bucket", "core")))]}
+
+    return _records(pages(list(wanted)), source.name, run_ts, read)
+
+
 def read_watchlist(spark: SparkSession, source: Source, pages: Pages, run_ts: datetime) -> DataFrame:
-    """One selector scan for each enabled company; the company's name and bucket replace what the page says."""
-    parts = []
-    for item in read_yaml(source.params["watchlist_path"]).get("companies") or []:
-        if not item.get("enabled", True):
-            continue
-        taken = ("listing_selector", "title_selector", "description_selector", "apply_selector", "location_selector", "salary_selector", "employment_type_selector", "timezone_selector", "job_id_attribute")
-        params = {k: item[k] for k in taken if item.get(k)} | {"url": item["careers_url"], "company_selector": item.get("company_selector") or item["title_selector"]}
-        found = scan_cards(pages([params["url"]]), Source(f"{source.name}:{item['name']}", "html", True, params), run_ts)
-        bucket = F.create_map(F.lit("watchlist_bucket"), F.lit(str(item.get("bucket", "core"))))
-        parts.append(found.withColumn("company", F.lit(item["name"])).withColumn("source_metadata", F.map_concat("source_metadata", bucket)))
-    return union(parts) if parts else empty_records(spark)
+    companies = read_yaml(source.params["watchlist_path"]).get("companies") or []
+    return scan_watchlist(pages, source, companies, run_ts) if any(c.get("enabled", True) for c in companies) else empty_records(spark)
 
 
 def union(parts: list[DataFrame]) -> DataFrame:

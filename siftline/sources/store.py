@@ -75,4 +75,8 @@ class Store:
 
     def add_feedback(self, uid: str, label: str, note: str, at: datetime) -> None:
         """Appends a label; nothing checks that the id exists."""
-        self.spark.createDataFrame([(uid, label, note, at)], FEEDBACK).coalesce(1).write.mode("append").parquet(f"{self.base}/feedback")
+        self.add_labels(self.spark.createDataFrame([(uid, label, note, at)], FEEDBACK).coalesce(1))
+
+    def add_labels(self, rows: DataFrame) -> None:
+        """Appends a table of labels."""
+        rows.select(*FEEDBACK.names).write.mode("append").parquet(f"{self.base}/feedback")

@@ -150,3 +150,38 @@ def test_stream_equals_batch(spark, tmp_path):
     for _ in range(2):
         start(spark.readStream.schema(RECORD).parquet(str(tmp_path / "in")), store, RULES, PROFILES, str(tmp_path / "cp")).awaitTermination()
     assert {(r.title, r.tier) for r in store.state().collect()} == {("title a", "A"), ("b", "C")} and store.events().count() == 2
+
+
+def test_identity_can_be_replaced_and_rows_keep_the_order_of_sources(spark, tmp_path):
+    from dataclasses import replace
+
+    from siftline.operators.identity import identity
+
+    pages = landed(spark.createDataFrame([("https://e.org/c", CARDS)], "url string, html string"))
+    twice = replace(app(tmp_path / "s"), sources=[Source(k, "html", True, PARAMS | {"url": "https://e.org/c"}) for k in ("first", "second")])
+    engine = Engine(spark, twice, pages, identify=lambda records: identity(records).withColumn("job_uid", F.lit("one")))
+    assert engine.run(T0) == {"ingested": 4, "persisted": 4, "alerts": 0}
+    row = engine.store.state().collect()
+    assert [(r.job_uid, r.source, r.title) for r in row] == [("one", "second", "")]
+
+
+def test_commands(spark, tmp_path, capsys):
+    import json
+
+    import yaml
+
+    from siftline.cli import main
+
+    spark.createDataFrame([("https://e.org/c", CARDS)], "url string, html string").write.parquet(str(tmp_path / "pages"))
+    (tmp_path / "rules.yaml").write_text("positive_title_signals: [title]")
+    (tmp_path / "search_profiles.yaml").write_text("title_weights: {title: 20}")
+    sources = [{"name": "cards", "type": "html", "params": PARAMS | {"url": "https://e.org/c"}}]
+    (tmp_path / "settings.yaml").write_text(yaml.safe_dump({"store": str(tmp_path / "store"), "log_level": "error", "sources": sources}))
+    run = lambda *a: (main(["--config", str(tmp_path / "settings.yaml"), "--pages", str(tmp_path / "pages"), *a]), capsys.readouterr().out.strip())
+    code, said = run("run")
+    assert code == 0 and json.loads(said) == {"ingested": 2, "persisted": 2, "alerts": 0}
+    assert run("digest", "--hours", "24")[1].splitlines()[2] == "A-tier roles (1)"
+    assert run("export-csv", "--output", str(tmp_path / "o.csv"))[1] == str(tmp_path / "o.csv") and "Acme" in (tmp_path / "o.csv").read_text()
+    assert run("render-html", "--output", str(tmp_path / "o.html"), "--limit", "1")[0] == 0 and (tmp_path / "o.html").read_text().count("<tr>") == 2
+    assert run("feedback", "u", "good")[1] == "feedback for u: good"
+    assert Store(spark, str(tmp_path / "store")).feedback().first().label == "good"
