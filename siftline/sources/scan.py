@@ -80,13 +80,13 @@ OPTIONAL = {"location_text": "location_selector", "remote_text": "remote_selecto
 
 
 def cards(url: str, html: str | None, params: dict[str, Any]) -> Iterator[dict[str, Any]]:
-    """A record for each element of the listing selector that has a title and a company."""
+    """A record for each element of the listing selector that has a title and a company; entities may name the references to resolve."""
 
     def read(card: Node, name: str) -> str | None:
         node = card.select_one(params[name]) if params.get(name) else None
         return (compact(node.text()) or None) if node else None
 
-    for card in parse(html).select(params["listing_selector"]):
+    for card in parse(html, params.get("entities")).select(params["listing_selector"]):
         head, company = card.select_one(params["title_selector"]), card.select_one(params["company_selector"])
         if head is None or company is None:
             continue

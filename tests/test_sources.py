@@ -29,6 +29,13 @@ def test_tree_and_selectors():
         root.select("p:first-child")
 
 
+def test_references_that_are_named_and_closed():
+    text = "a&amp;b &amp &lt;p&gt; &copy; &am &amp;lt; &"
+    assert parse(f"<p>{text}</p>").text() == "a&b & <p> © &am &lt; &"
+    assert parse(f"<p>{text}</p>", ("lt", "gt", "quot", "amp")).text() == "a&b &amp <p> &copy; &am &lt; &"
+    assert parse(f"<p>{text}</p>", ()).text() == text and parse('<a href="?a=1&amp;b&c">', ("amp",)).select_one("a").attrs == {"href": "?a=1&b&c"}
+
+
 def test_heading_blocks():
     a, b = heading_blocks("https://e.org/list/", LISTING)
     assert (a["title"], a["company"], a["original_url"], a["apply_url"], a["source_job_id"]) == ("Lead Analyst", "Acme & Co", "https://e.org/job/1", "https://e.org/list/apply/1", "/job/1")
