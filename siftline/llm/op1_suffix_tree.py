@@ -8,14 +8,16 @@ left out of its own count, is ``GAIN`` nats or more. Distributions are smoothed
 smoothed word counts, where all words not seen in training are one symbol. A token is scored by the longest kept
 suffix of the words before it.
 
-Nothing that grows with the corpus is broadcast or collected. Texts are cut into chunks where they are read:
+But for a number or two to each ``SPLIT`` occurrences or ``PART_KEYS`` pairs, nothing that grows with the corpus is
+collected or sent to all. Texts are cut into chunks where they are read:
 the words' 64-bit hashes, each once, and the tokens as places among them. At each level a chunk asks for each
 of its different (context, word) pairs once: pairs with their counts in the chunk go, packed into arrays, to
 parts dealt by the context's hash. A part holds all of its contexts' pairs, so it sums them, tests each
 context and answers every chunk in the order in which it asked. Only pairs whose context is frequent enough
 are asked for. Arrays travel as bytes: a word within a context as 48 bits of its hash, a probability, which only the
-test looks at, as a half float. A context of more than ``SPLIT`` occurrences is dealt to several parts by its next words and
-kept without the test, which so many occurrences pass by far if there is any difference.
+test looks at, as a half float. A context of ``SPLIT`` occurrences or more is dealt to several parts by its next words. With
+its pairs goes its whole count, so that each part gets its share of the test's sum; the driver adds the shares, two numbers to
+each such context and part, and names those that pass. The sum is one of integers: how contexts are dealt cannot change it.
 
 Defined cases: a null or empty text has one token, the end. Null ids are learned from and are not held out.
 Repeated rows are counted and scored each on its own. Without training rows the counts are 0, and the
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +44,8 @@ DEPTH, MIN_COUNT = 2, 2
 GAIN, SPREAD = 2.0, 0.85
 #: Bytes of text to a chunk, (context, word) pairs to a part, and occurrences from which a context is split.
 CHUNK_BYTES, PART_KEYS, SPLIT = 8 << 20, 1 << 20, 1 << 20
+#: Steps to a nat in the test's sum.
+STEPS = 1 << 20
 #: Rounds in which the pairs of contexts of two words or more are asked for, so that their shuffle takes less disk.
 ROUNDS = 2
 #: The end's place among the hashes.
@@ -78,6 +83,17 @@ def _numbers(column: pa.ChunkedArray | pa.Array, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(unpack(x) for x in column.to_pylist()), kind)
 
 
+def _sparse(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Such a column with null for arrays of zeros only."""
+    some = [bool(values[a:b].any()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return pc.if_else(pa.array(some, pa.bool_()), _binary(values, cuts), pa.scalar(None, pa.binary())) if any(some) else pa.nulls(len(some), pa.binary())
+
+
+def _of_sparse(column: pa.ChunkedArray, sizes: np.ndarray) -> np.ndarray:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return np.frombuffer(b"".join(bytes(8 * n) if x is None else unpack(x) for x, n in zip(column.to_pylist(), sizes.tolist(), strict=True)), np.int64)
+
+
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(different keys, sorted; the place of one of each; the different key of each)."""
     order = np.argsort(keys)
@@ -169,19 +185,21 @@ class Chunk:
         own = self.words[word]
         if self.level:
             lead = self.hashes[context]
+            whole = np.where(self.totals[context] >= self.split, self.totals[context], 0)
             salt = own % (1 + self.totals[context] // self.split).astype(np.uint64)
             part = tv.mix(lead + salt) % np.uint64(n_parts)
         else:
             lead, part = np.zeros(len(own), np.uint64), tv.mix(own) % np.uint64(n_parts)
+            whole = np.zeros(len(own), np.int64)
         order = np.argsort(part.astype(np.uint16) if n_parts < 1 << 16 else part, kind="stable")  # the same on every machine
         n = np.bincount(of[self.learn[active]], minlength=len(own))
         below = self.p[one] if self.level else np.zeros(len(own))
         pairs = np.empty(len(order), PAIR)
         pairs["word"], pairs["n"], pairs["below"] = np.ascontiguousarray(own[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").ravel(), n[order], below[order]
-        return order, part[order].astype(np.int32), {"context": lead[order], **{c: np.ascontiguousarray(pairs[c]) for c in PAIR.names}}
+        return order, part[order].astype(np.int32), {"context": lead[order], "whole": whole[order], **{c: np.ascontiguousarray(pairs[c]) for c in PAIR.names}}
 
-    def answered(self, totals: np.ndarray, kept: np.ndarray) -> None:
-        """Takes the answers to what pairs() gave, in its order."""
+    def answered(self, totals: np.ndarray, kept: np.ndarray, passed: np.ndarray) -> None:
+        """Takes the answers to what pairs() gave, in its order, and the contexts of several parts that are kept."""
         active, of, context, word, _ = self.found
         if not self.level:
             base = (totals + 0.5) / (self.n_tokens + 0.5 * (self.n_distinct + 1))
@@ -190,7 +208,8 @@ class Chunk:
             self.totals = totals
         else:
             n = self.totals[context].astype(float)
-            kept = kept | (n >= self.split)
+            wide = np.flatnonzero(n >= self.split)
+            kept[wide] = np.isin(self.hashes[context[wide]], passed)
             use = np.flatnonzero(kept[of])
             m = (n**self.spread)[of[use]]
             self.p[active[use]] = (totals[of[use]] + m * self.p[active[use]]) / (n[of[use]] + m)
@@ -200,23 +219,27 @@ class Chunk:
         self.level += 1
 
 
-def divergent(context: np.ndarray, totals: np.ndarray, below: np.ndarray, gain: float, spread: float) -> np.ndarray:
-    """For each pair, whether its context is kept; all pairs of a context with a count are given."""
+def divergence(context: np.ndarray, whole: np.ndarray, totals: np.ndarray, below: np.ndarray, spread: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different contexts, sorted; the test's sum over the pairs of each, in steps; the different context of each pair).
+
+    whole: a context's occurrences where only some of its pairs are given, or 0.
+    """
     order = np.argsort(context)
     first = np.flatnonzero(np.append(True, np.diff(context[order].view(np.int64)) != 0))
     sizes = np.diff(np.append(first, len(order)))
-    total, low = totals[order].astype(float), below[order].astype(float)
-    n = np.repeat(np.add.reduceat(total, first), sizes)
+    total, low, known = totals[order].astype(float), below[order].astype(float), whole[order[first]]
+    n = np.repeat(np.where(known > 0, known, np.add.reduceat(total, first)), sizes)
     m = n**spread
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = np.where(total > 0, (total - 1 + m * low) / ((n - 1 + m) * low), 1.0)
-    out = np.empty(len(order), bool)
-    out[order] = np.repeat(np.add.reduceat(total * np.log(ratio), first) >= gain, sizes)
-    return out
+    of = np.empty(len(order), np.int64)
+    of[order] = np.repeat(np.arange(len(first)), sizes)
+    return context[order[first]], np.add.reduceat(np.rint(total * np.log(ratio) * STEPS).astype(np.int64), first), of
 
 
 def _answers(asks: DataFrame, level: int, gain: float, spread: float) -> DataFrame:
-    """(chunk, level, part, totals, kept): an answer to each row of asks; at level 0 also (-1, ...) with tokens and different words."""
+    """(chunk, level, part, totals, kept): an answer to each row of asks. Also (-1, ...), at level 0 with tokens and different
+    words, else with the contexts whose pairs lie in several parts and this part's shares of their sums."""
 
     def run(table: pa.Table) -> pa.Table:
         context, n, below = (_numbers(table.column(c), k) for c, k in (("context", np.uint64), ("n", "<i4"), ("below", "<f2")))
@@ -228,11 +251,17 @@ def _answers(asks: DataFrame, level: int, gain: float, spread: float) -> DataFra
         key = tv.combine(context, word) if level else word
         _, one, of = _grouped(key)
         sums = np.bincount(of, weights=n, minlength=len(one)).astype(np.int64)
-        kept = divergent(context[one], sums, below[one], gain, spread) if level else np.ones(len(one), bool)
+        kept, own = np.ones(len(one), bool), np.array([sums.sum(), (sums > 0).sum()])
+        if level:
+            whole = _of_sparse(table.column("whole"), np.diff(cuts))[one]
+            contexts, steps, at = divergence(context[one], whole, sums, below[one], spread)
+            kept = (steps >= gain * STEPS)[at]
+            wide = np.unique(at[whole > 0])
+            own = np.stack([contexts[wide].view(np.int64), steps[wide]], axis=1).ravel()
         chunk, totals, lists = table.column("chunk").combine_chunks(), sums[of], kept[of].astype(np.uint8)
-        if not level:
+        if len(own):
             chunk = pa.concat_arrays([chunk, pa.array([-1], pa.int64())])
-            totals, lists = np.append(totals, [sums.sum(), (sums > 0).sum()]), np.append(lists, [np.uint8(1)] * 2)
+            totals, lists = np.append(totals, own), np.append(lists, np.zeros(len(own), np.uint8))
             cuts = np.append(cuts, len(totals))
         rows = len(chunk)
         return pa.table([chunk, pa.array(np.full(rows, level, np.int32)), pa.array(np.full(rows, table.column("part")[0].as_py(), np.int32)), _binary(totals, cuts), _binary(lists, cuts)], names=["chunk", "level", "part", "totals", "kept"])
@@ -240,18 +269,26 @@ def _answers(asks: DataFrame, level: int, gain: float, spread: float) -> DataFra
     return asks.groupBy("part").applyInArrow(run, "chunk long, level int, part int, totals binary, kept binary")
 
 
-def _replayed(row: dict, answers: pa.Table, parts: list[int], model: tuple) -> Chunk:
-    """A chunk after all levels that were answered."""
+def _passed(shares: np.ndarray, gain: float) -> np.ndarray:
+    """The contexts of several parts whose shares, (context, steps) of each part, sum to the gain."""
+    contexts, _, of = _grouped(np.ascontiguousarray(shares[:, 0]).view(np.uint64))
+    steps = np.zeros(len(contexts), np.int64)
+    np.add.at(steps, of, shares[:, 1])
+    return contexts[steps >= gain * STEPS]
+
+
+def _replayed(row: dict, answers: pa.Table, done: list[tuple[int, np.ndarray]], model: tuple) -> Chunk:
+    """A chunk after all levels that were answered: their numbers of parts, and the contexts of several parts that are kept."""
     state = Chunk(row, *model)
     level, part = (answers.column(c).to_numpy() for c in ("level", "part"))
-    for k, n_parts in enumerate(parts):
+    for k, (n_parts, passed) in enumerate(done):
         order, _, _ = state.asked(n_parts)
         mine = np.flatnonzero(level == k)
         own = answers.take(pa.array(mine[np.argsort(part[mine], kind="stable")]))
         totals, kept = np.empty(len(order), np.int64), np.empty(len(order), bool)
         for target, name, kind in ((totals, "totals", np.int64), (kept, "kept", np.uint8)):
             target[order] = _numbers(own.column(name), kind)
-        state.answered(totals, kept)
+        state.answered(totals, kept, passed)
     return state
 
 
@@ -264,7 +301,7 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
     kinds = [docs.schema[c].dataType.simpleString() for c in (key, *carry)]
     chunks = written(chunked(docs, learn, key=key, text=text, carry=carry, chunk_bytes=chunk_bytes))
     n_all, n_words = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    parts: list[int] = []
+    done: list[tuple[int, np.ndarray]] = []
     answers, model = None, (0, 0, min_count, spread, split)
 
     def sent(state: Chunk, chunk: int, n_parts: int, rounds: int, which: int) -> pa.Table:
@@ -273,36 +310,36 @@ def score(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "t
         part, sent = part[mine], {c: v[mine] for c, v in sent.items()}
         first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
         cuts = np.append(first, len(part)).astype(np.int64)
-        columns = [_binary(sent[c], cuts) for c in ("context", "word", "n", "below")]
-        return pa.table([pa.array(part[first], pa.int32()), pa.array(np.full(len(first), chunk)), pa.array(np.diff(cuts)), *columns], names=["part", "chunk", "pairs", "context", "word", "n", "below"])
+        columns = [*(_binary(sent[c], cuts) for c in ("context", "word", "n", "below")), _sparse(sent["whole"], cuts)]
+        return pa.table([pa.array(part[first], pa.int32()), pa.array(np.full(len(first), chunk)), pa.array(np.diff(cuts)), *columns], names=["part", "chunk", "pairs", "context", "word", "n", "below", "whole"])
 
-    def asking(n_parts: int, model: tuple, done: list[int], rounds: int, which: int):
+    def asking(n_parts: int, model: tuple, done: list[tuple[int, np.ndarray]], rounds: int, which: int):
         first = lambda left: sent(Chunk(_row(left), *model), left.column("chunk")[0].as_py(), n_parts, rounds, which)
         later = lambda left, right: sent(_replayed(_row(left), right, done, model), left.column("chunk")[0].as_py(), n_parts, rounds, which)
         return later if done else first
 
-    asked = "part int, chunk long, pairs long, context binary, word binary, n binary, below binary"
+    asked = "part int, chunk long, pairs long, context binary, word binary, n binary, below binary, whole binary"
     slim = chunks.select("chunk", "words", "tokens", "bounds", "learn")
     for level in range(depth + 1):
         n_parts = max(1, -(-(n_all if level else n_words) // part_keys))
         rounds, found = ROUNDS if level > 1 else 1, None
         for which in range(rounds):
-            ask = asking(n_parts, model, list(parts), rounds, which)
+            ask = asking(n_parts, model, list(done), rounds, which)
             asks = (slim.groupBy("chunk").cogroup(answers.groupBy("chunk")) if level else slim.groupBy("chunk")).applyInArrow(ask, asked)
             one = written(_answers(asks, level, gain, spread))
             found = one if found is None else found.unionAll(one)
             released(docs.sparkSession)
-        parts.append(n_parts)
+        # two numbers from each part, and a part for each PART_KEYS words; then two to each SPLIT occurrences or so
+        own = _numbers(found.where("chunk = -1").select("totals").toArrow().column("totals"), np.int64).reshape(-1, 2)
+        done.append((n_parts, _passed(own, gain) if level else np.empty(0, np.uint64)))
         if not level:
-            # two numbers from each part, and a part for each PART_KEYS words
-            sums = _numbers(found.where("chunk = -1").select("totals").toArrow().column("totals"), np.int64).reshape(-1, 2).sum(axis=0)
-            model = (int(sums[0]), int(sums[1]), min_count, spread, split)
-            found = found.where("chunk >= 0")
+            model = (*map(int, own.sum(axis=0)), min_count, spread, split)
+        found = found.where("chunk >= 0")
         answers = found if answers is None else answers.unionAll(found)
     names = [key, *carry, "n_tokens", "n_known", "base_score", "score"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        state = _replayed(_row(left), right, parts, model)
+        state = _replayed(_row(left), right, done, model)
         sums = [np.add.reduceat(x, state.bounds[:-1]) for x in (state.known.astype(np.int64), state.base, np.log10(state.p))]  # each text has a token
         columns = [left.column(f"c{k}").combine_chunks().flatten() for k in range(len(kinds))]
         return pa.table([*columns, pa.array(np.diff(state.bounds)), *map(pa.array, sums)], names=names)

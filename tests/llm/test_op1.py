@@ -1,8 +1,10 @@
+import itertools
 import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +81,34 @@ def test_like_dictionaries(spark, depth, gain, chunk_bytes, part_keys, split):
         assert abs(sum(p(context, s) for s in c) + p(context, "unseen") - 1) < 1e-9
 
 
+@pytest.mark.parametrize("split", [5, 60, 1 << 20])
+def test_contexts_in_several_parts_take_the_same_test(spark, split):
+    """Words drawn evenly, some of whose frequent contexts fail the test, beside sentences, whose frequent contexts pass it."""
+    rng = random.Random(9)
+    even = [(100 + i, " ".join(rng.choices(["red", "blue", "tall", "wide", "old"], k=40)), "en", "s", 1) for i in range(40)]
+    docs = documents(spark, [*sentences(), *even]).repartition(3)
+    data = docs.collect()
+    n, want, kept, p, c = brute([r.text for r in data], [r.text for r in data], 2, op.MIN_COUNT, op.GAIN, op.SPREAD)
+    often = Counter(x for r in data for x in itertools.pairwise(tokens(r.text)) if x[1] is not END)
+    assert ("the",) in kept and {x for x, k in often.items() if k >= 60} - kept
+    got = {r.doc_id: r for r in op.score(docs, F.lit(True), chunk_bytes=900, part_keys=30, split=split).collect()}
+    for r, (*_, score) in zip(data, want, strict=True):
+        assert abs(got[r.doc_id].score - score) < 1e-4, (r.doc_id, got[r.doc_id].score, score)
+
+
+def test_sum_of_the_test_whatever_the_parts():
+    rng = np.random.default_rng(1)
+    context, n, below = rng.integers(0, 9, 5000).astype(np.uint64) << np.uint64(61), rng.integers(0, 50, 5000), rng.random(5000).astype(np.float16).clip(np.float16(1e-7))
+    keys, steps, of = op.divergence(context, np.zeros(5000, np.int64), n, below, op.SPREAD)
+    whole, shares = np.bincount(of, n).astype(np.int64)[of], []
+    for part in range(7):
+        mine = rng.permutation(np.arange(part, 5000, 7))
+        k, share, _ = op.divergence(context[mine], whole[mine], n[mine], below[mine], op.SPREAD)
+        shares.append(np.stack([k.view(np.int64), share], axis=1))
+    for bound in sorted(steps.tolist()):
+        assert op._passed(np.concatenate(shares), bound / op.STEPS).tolist() == keys[steps >= bound].tolist()
+
+
 def test_texts_that_occur_twice_stand_out(spark):
     """At any size: copies of a text of its own words get contexts of two occurrences."""
     rng = random.Random(5)
